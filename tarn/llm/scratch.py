@@ -1,0 +1,40 @@
+"""Places for intermediate tables that every executor can reach.
+
+Lineage is cut by writing Parquet below ``spark.checkpoint.dir``, the folder
+that the cluster shares.  Only where that setting is absent (local tests) a
+fresh temporary folder is used.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_local: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder's URI."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        app = spark.sparkContext.applicationId
+        base = _local.get(app) or _local.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tarn-"))
+    return base.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again.
+
+    The files survive the loss of executors, and their size gives the planner
+    the statistics by which it may choose a broadcast.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
