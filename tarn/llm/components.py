@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from ..sources.scratch import written
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from ..sources.scratch import written
 from .textvec import Words, find_words, mix, words_of
 
 

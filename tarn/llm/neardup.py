@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import written
+from ..sources.scratch import written
 from .textvec import Words, mix, shingle_counts, words_of
 
 

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import fresh_path, written
+from ..sources.scratch import fresh_path, written
 
 
 @dataclass(frozen=True)

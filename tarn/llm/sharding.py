@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import written
+from ..sources.scratch import written
 
 
 def byte_shards(rows: DataFrame, shards: int, order: str, size: str = "size", partitions: int | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import fresh_path, written
+from ..sources.scratch import fresh_path, written
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
