@@ -1,0 +1 @@
+"""No streaming operators: ranked access is defined over finite tables only."""
