@@ -101,6 +101,14 @@ def words_of(column: pa.Array | pa.ChunkedArray, max_docs: int = 4096) -> Iterat
         yield find_words(part, base, a)
 
 
+def run_hashes(data: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hashes of consecutive runs of bytes, none of them empty."""
+    first_of = np.cumsum(length) - length
+    within = np.arange(len(data)) - np.repeat(first_of, length)
+    value = (data.astype(np.uint64) + np.uint64(1)) * _power_table(int(length.max()))[within]
+    return mix(np.add.reduceat(value, first_of) + length.astype(np.uint64))
+
+
 def find_words(part: np.ndarray, base: np.ndarray, first: int = 0) -> Words:
     inside = IS_WORD_ANY_CASE[part]
     n = len(part)
@@ -118,16 +126,7 @@ def find_words(part: np.ndarray, base: np.ndarray, first: int = 0) -> Words:
         end = np.flatnonzero(inside & ~after) + 1
     else:
         start = end = np.zeros(0, np.int64)
-    if len(start):
-        at = np.flatnonzero(inside)
-        length = end - start
-        first_of = np.concatenate(([0], np.cumsum(length)[:-1]))
-        within = np.arange(len(at)) - np.repeat(first_of, length)
-        power = _power_table(int(length.max()))
-        value = (LOWER[part[at]].astype(np.uint64) + np.uint64(1)) * power[within]
-        h = mix(np.add.reduceat(value, first_of) + length.astype(np.uint64))
-    else:
-        h = np.zeros(0, np.uint64)
+    h = run_hashes(LOWER[part[inside]], end - start) if len(start) else np.zeros(0, np.uint64)
     return Words(first, len(base) - 1, part, base, start, end, h, np.searchsorted(start, base))
 
 

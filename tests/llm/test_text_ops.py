@@ -205,7 +205,7 @@ def check_packing(rows, size=2048):
 
 
 def test_packing_edges(spark):
-    texts = ["Hello, world! it's  <|endoftext|> 12", None, "", "\x1cA\x1fb é́", "word " * 5000, "x" * 3000, "Ünïcode sp ace 日本語 don't"]
+    texts = ["Hello, world! it's  <|endoftext|> 12", None, "", "\x1cA\x1fb é́", "word " * 5000, "x" * 3000, "Ünïcode sp ace 日本語 don't", "a\u00a0b\u2003c\x85d\u3000e\u200bf\u2028g ÀÉ, ŒUVRE... (x)_ wo-rd it's 'S !!'s İI ΣΑΣ ǅ ß´ e\u0301a ﬁ x²y¼ ª\xad\x00\x7f §", ("Long TEXT, " + "z" * 99 + " ") * 9000]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(0, texts[0], 1), (None, "b", 2)], "doc_id long, text string, piece int")
     from tokenizers import Tokenizer
 
