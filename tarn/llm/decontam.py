@@ -196,12 +196,12 @@ _HITS = "n_words long, spans array<array<long>>, items array<string>"
 _OUT = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
 
 
-def _stream(automaton: SuffixAutomaton):
+def _stream(automaton: SuffixAutomaton, text: str):
     """Adds to ``hits`` what one automaton finds; spans are of word numbers and of bytes: [word, word, byte, byte]."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("_text")
+            at = batch.schema.get_field_index(text)
             had = batch.column("_hits").to_pylist() if "_hits" in batch.schema.names else [None] * batch.num_rows
             result: list[dict] = []
             for w in words_of(batch.column(at)):
@@ -226,23 +226,23 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     words; those of different blocks of items may overlap.  items: ids as
     strings of the items with an occurring window, each once.  A null or empty
     text has no words; items without words match nothing; items with a null id
-    are named "null"; with no items at all nothing is hit.  Columns of ``docs``
-    named ``_hits`` or ``_text`` are refused.
+    are named "null"; with no items at all nothing is hit.  A column of
+    ``docs`` named ``_hits`` is refused.
     """
-    if {"_hits", "_text"} & set(docs.columns):
-        raise ValueError("columns _hits and _text are reserved")
+    if "_hits" in docs.columns:
+        raise ValueError("column _hits is reserved")
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(item_text).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(size) // (2 * limits.max_block_words)))  # a word takes two bytes at least
-    current = docs.withColumn("_text", F.col(text))
+    current = docs
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in current.schema) + f", _hits struct<{_HITS.replace(' ', ':').replace(',:', ',')}>"
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else items
         automaton = SuffixAutomaton(((r.item, normalised_words(r.text)) for r in part.collect()), limits.window)
-        current = current.mapInArrow(_stream(automaton), kinds)
+        current = current.mapInArrow(_stream(automaton, text), kinds)
         if block + 1 < blocks:
             current = written(current, "hits")
-    return current.drop("_text")
+    return current
 
 
 def hit_words(spans) -> "F.Column":
