@@ -113,7 +113,10 @@ class Model:
 
 
 def train(x: np.ndarray, y: np.ndarray, languages: list[str], p: LangId) -> Model:
-    """Full-batch gradient descent with momentum on all bits at once."""
+    """Full-batch gradient descent with momentum on all bits at once.
+
+    ``x`` stays in single precision, and in one copy.
+    """
     code = codewords(len(languages), p)
     target = code[y]
     w, b = np.zeros((p.dims, code.shape[1])), np.zeros(code.shape[1])
@@ -121,8 +124,8 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], p: LangId) -> Mode
     importance = (1 / count[y] / len(languages))[:, None]
     vw, vb = np.zeros_like(w), np.zeros_like(b)
     for _ in range(p.steps):
-        z = -target / (1 + np.exp(np.clip(target * (x @ w + b), -30, 30))) * importance
-        vw = 0.9 * vw - 8.0 * (x.T @ z + 1e-5 * w)
+        z = -target / (1 + np.exp(np.clip(target * (x @ w.astype(np.float32) + b), -30, 30))) * importance
+        vw = 0.9 * vw - 8.0 * (x.T @ z.astype(np.float32) + 1e-5 * w)
         vb = 0.9 * vb - 1.0 * z.sum(0)
         w, b = w + vw, b + vb
     return Model(languages, code, w, b, p)
@@ -152,10 +155,16 @@ def fit(labelled: DataFrame, p: LangId = LangId(), text: str = "text", lang: str
     if not got.num_rows:
         return None
     names = sorted(set(got.column("lang").to_pylist()))
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, p.dims).astype(float)
     y = np.array([names.index(v) for v in got.column("lang").to_pylist()])
+    rows = got.column("x").combine_chunks()
+    start = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset]
+    x = np.frombuffer(rows.buffers()[2], np.float32, len(rows) * p.dims, int(start)).reshape(-1, p.dims)
+    # an order that doesn't depend on how the rows arrived
     order_of = np.lexsort((*x[:, :3].T, y))
-    return train(x[order_of], y[order_of], names, p)
+    x, y = x[order_of], y[order_of]
+    del got, rows
+    pa.default_memory_pool().release_unused()
+    return train(x, y, names, p)
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -164,9 +173,9 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     A null text, or one without a letter, is ``und`` with score 0, as is
     everything where no model could be learned.  Other columns pass through.
     """
-    if {"_lang", "_text", "_letter"} & set(docs.columns):
-        raise ValueError("columns _lang, _text and _letter are reserved")
-    inner = docs.withColumn("_text", F.col(text)).withColumn("_letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    if {"_lang", "_letter"} & set(docs.columns):
+        raise ValueError("columns _lang and _letter are reserved")
+    inner = docs.withColumn("_letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema)
     out_type = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("ambiguous", pa.bool_())])
 
@@ -175,7 +184,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
             names = batch.schema.names
             result: list[dict] = []
             letter = batch.column(names.index("_letter")).to_pylist()
-            for a, x in ngram_features(batch.column(names.index("_text")), model.params.dims if model else 2):
+            for a, x in ngram_features(batch.column(names.index(text)), model.params.dims if model else 2):
                 if model:
                     loss = model.losses(x)
                     order = np.argsort(loss, axis=1, kind="stable")
@@ -192,7 +201,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
             yield pa.record_batch([*batch.columns, pa.array(result, out_type)], [*names, "_lang"])
 
     kinds += ", _lang struct<lang:string,score:double,margin:double,ambiguous:boolean>"
-    return inner.mapInArrow(run, kinds).drop("_text", "_letter")
+    return inner.mapInArrow(run, kinds).drop("_letter")
 
 
 def held_out(doc_id: str = "doc_id"):
