@@ -90,4 +90,59 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_license_scan, op4_mpeg_ts, op5_secret_scan, op6_chat_format, op7_language_id, op8_best_fit_packing, op9_minhash_near_dedup, op10_sharding)}
 
-ORACLES: dict[str, str] = {}
+
+
+def _spans_sql(rule: secrets.Rule, rank: int) -> str:
+    """A list of {start, rank, kind, end} of one rule's matches, from the pieces between them."""
+    pattern = rule.pattern.replace("(?<![0-9a-f])", "").replace("'", "''")
+    matches, judged, pieces = f"regexp_extract_all(t, '{pattern}')", f"regexp_extract_all(t, '{pattern}', {rule.group})", f"regexp_split_to_array(t, '{pattern}')"
+    start = f"list_sum(list_transform({pieces}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform({matches}[1:i - 1], lambda x: length(x))), 0)"
+    every = f"list_transform(range(1, len({matches}) + 1), lambda i: {{'start': CAST({start} AS BIGINT), 'rank': {rank}, 'kind': '{rule.kind}', 'n': CAST(length({matches}[i]) AS BIGINT), 'g': length({judged}[i])}})"
+    return f"CASE WHEN regexp_matches(t, '{pattern}') THEN list_filter({every}, lambda s: s.g >= {rule.least}) ELSE [] END"
+
+
+def _joined(spans: str) -> str:
+    return f"array_to_string(list_transform({spans}, lambda s: s.kind || ':' || s.start || ':' || (s.start + s.n)), ',')"
+
+
+_BASE = f"list_filter(spans, lambda s: s.rank < {len(secrets.BASE_RULES)})"
+_ESCAPED = "length({0}) + length({0}) - length(replace({0}, '\\', '')) + len(string_split({0}, '</turn>')) - 1 + len(string_split({0}, ': ')) - 1 + coalesce(list_sum(list_transform(regexp_extract_all({0}, '#{{3,}}'), lambda x: length(x) - 2)), 0)"
+_CONTROL = "contains({0}, '</turn>') OR contains({0}, '###') OR regexp_matches({0}, '(?s)\\\\.')"
+_IN_ORDER = "ORDER BY turn NULLS FIRST, role, txt"
+
+#: SQL for the queries that it can express.
+ORACLES = {
+    "op1_warc": """
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+               CASE WHEN other IS NULL THEN 'response' ELSE 'revisit' END AS record_type, other AS refers_to
+        FROM (SELECT *, CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM m THEN m END AS other
+              FROM (SELECT page_id, h, octet_length(encode(h)) AS n, max(page_id) OVER (PARTITION BY h) AS m
+                    FROM (SELECT page_id, coalesce(html, '') AS h FROM pages)))""",
+    "op2_decontamination": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+        i AS (SELECT item_id, ws, least(10, len(ws)) AS k FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark) WHERE len(ws) > 0),
+        iw AS (SELECT DISTINCT item_id, k, array_to_string(ws[p:p + k - 1], ' ') AS w FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS p FROM i)),
+        ks AS (SELECT DISTINCT k FROM i),
+        dw AS (SELECT r, k, p, array_to_string(ws[p:p + k - 1], ' ') AS w FROM (SELECT r, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM d, ks)),
+        found AS (SELECT r, p, iw.k, item_id FROM dw JOIN iw ON dw.w = iw.w AND dw.k = iw.k),
+        hit AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + k)) AS q FROM found) GROUP BY r),
+        items AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY r)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(list, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated,
+               CASE WHEN len(ws) > 0 THEN coalesce(hit.n, 0) / len(ws) ELSE 0.0::DOUBLE END AS coverage
+        FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)""",
+    "op5_secret_scan": f"""
+        SELECT doc_id, {", ".join(f"CAST(len(list_filter(spans, lambda s: s.kind = '{r.kind}')) AS BIGINT) AS n_{r.kind}" for r in secrets.BASE_RULES)},
+               sha256({_joined(_BASE)}) AS base_sha256, {_joined("spans")} AS spans
+        FROM (SELECT doc_id, list_sort(flatten([{", ".join(_spans_sql(r, i) for i, r in enumerate(secrets.RULES))}])) AS spans
+              FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))""",
+    "op6_chat_format": f"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS txt FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '{PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{PROBE}'),
+        e AS (SELECT *, {_CONTROL.format("txt")} OR {_CONTROL.format("role")} OR contains(role, ': ') AS conflict FROM t)
+        SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || txt || chr(10), '' {_IN_ORDER})) AS turns_sha256,
+               CAST(length(coalesce(string_agg(txt, '' {_IN_ORDER}) FILTER (role = 'assistant'), '')) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(txt, '' {_IN_ORDER}) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(14 + CASE WHEN conflict THEN {_ESCAPED.format("role")} + {_ESCAPED.format("txt")} ELSE length(role) + length(txt) END) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
+}

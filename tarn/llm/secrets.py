@@ -42,11 +42,14 @@ BASE_RULES = (
     Rule("hex", r"(?<![0-9a-f])[0-9a-f]{16,}"),
 )
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]{0,8192}-----END [A-Z ]{0,40}PRIVATE KEY-----)?"),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]{0,40}PRIVATE KEY-----)?"),
     Rule("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}"),
 )
 RULES = BASE_RULES + MORE_RULES
 
+#: Findings of up to this estimated size are broadcast to the versions.
+BROADCAST_BYTES = 32 << 20
+
 _SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
@@ -133,6 +136,10 @@ def scan_secrets(versions: DataFrame, ledger: str | None = None, text: str = "te
     known = _ledger(spark, ledger).where(current & (F.size("spans") > 0)).dropDuplicates(["blob", "kind", "version"])
     findings = known.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("_spans")).withColumnRenamed("blob", "_blob")
     findings = written(findings, "findings")
+    # Texts need not move if what was found is small; else both sides are dealt by blob.
+    found_bytes = findings.agg(F.sum(F.size("_spans") * 48 + 128)).first()[0] or 0
+    if found_bytes <= BROADCAST_BYTES:
+        findings = F.broadcast(findings)
     none = F.array().cast(_SPANS)
     return versions.withColumn("_blob", content_address(F.col(text))).join(findings, "_blob", "left").withColumn("_spans", F.coalesce("_spans", none)).drop("_blob")
 
