@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -12,22 +13,33 @@ from ..plans.hypergraph import classify, complete_order
 from ..plans.jointree import layers
 from ..plans.spec import CQ, NotTractable
 from .reduction import reduce_query, reduced_edges
-from .relations import BIG, M, W, c, prefix_sums, same_join, times
+from ..sources.scratch import written
+from .relations import BIG, HOT_ROWS, M, W, c, hot_buckets, prefix_sums, same_join, times
 
-#: Cells into which the ranks of a layer without a prefix are dealt, so that ranks meet rows in an equi-join.
-CELLS = 1024
+#: The ranks of a layer without a prefix, and of a hot bucket, are dealt into cells, so that ranks meet few rows in an
+#: equi-join: so many cells at least, and one for so many rows.
+CELLS, CELL_ROWS = 1024, 64
+
+
+def _beside(df: DataFrame, wide: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``df`` with the total and cell width of its rows' buckets: one row for all, or null for those not in ``wide``."""
+    if not on:
+        return df.crossJoin(F.broadcast(wide))
+    wide = wide.withColumnsRenamed({v: f"__h{i}" for i, v in enumerate(on)})
+    same = reduce(lambda a, b: a & b, [c(v).eqNullSafe(F.col(f"__h{i}")) for i, v in enumerate(on)])
+    return df.join(wide, same, "left").drop(*[f"__h{i}" for i in range(len(on))])
 
 
 class LayeredIndex:
     """Answers of a query in lexicographic order, by rank.
 
     Building costs one aggregate and one window per variable and never joins the
-    relations; a batch of ranks costs one join per variable, whatever its size.
+    relations; buckets of more than ``hot_rows`` rows are split among tasks.  A batch of ranks costs one join per variable, whatever its size.
     ``big`` counts in decimal(38,0) where there may be 2**63 answers.  The order
     actually used, completed to all free variables, is ``order``.
     """
 
-    def __init__(self, cq: CQ, tables: Mapping[str, DataFrame], semantics: str = "set", big: bool = False, persist: bool = False) -> None:
+    def __init__(self, cq: CQ, tables: Mapping[str, DataFrame], semantics: str = "set", big: bool = False, persist: bool = False, hot_rows: int = HOT_ROWS) -> None:
         self.classification = classify(cq)
         if not self.classification.direct_access:
             raise NotTractable(f"no direct access: {self.classification}")
@@ -39,7 +51,7 @@ class LayeredIndex:
         parts = reduce_query(cq, tables, semantics, big)
         self.layers = layers([frozenset(p.variables) for p in parts], self.order)
         self.tables: list[DataFrame] = [None] * len(self.layers)
-        self._totals: DataFrame | None = None
+        self.hot: list[DataFrame | None] = [None] * len(self.layers)
         for i in reversed(range(len(self.layers))):
             layer = self.layers[i]
             own = (*layer.prefix, layer.variable)
@@ -55,7 +67,11 @@ class LayeredIndex:
                 if child.parent == i:
                     rows = times(rows, self.tables[j], list(child.prefix), W, W, big)
             # what a row multiplies into the factor: its multiplicity and the weights of the buckets that it opens
-            rows = prefix_sums(rows.select(*map(c, own), W), layer.prefix, [(layer.variable, layer.direction)])
+            rows = rows.select(*map(c, own), W)
+            if layer.prefix:
+                rows = written(rows, "layer")
+                self.hot[i] = hot_buckets(rows, layer.prefix, hot_rows)
+            rows = prefix_sums(rows, layer.prefix, [(layer.variable, layer.direction)], hot=self.hot[i])
             self.tables[i] = rows.persist(StorageLevel.MEMORY_AND_DISK) if persist else rows
 
     def unpersist(self) -> None:
@@ -89,19 +105,22 @@ class LayeredIndex:
         # __r: residual rank.  __f: product of the weights of open buckets and of multiplicities.
         state = state.crossJoin(F.broadcast(self.totals())).where("k < n").select("k", F.col("k").alias("__r"), F.col("n").alias("__f"))
         div = (lambda x, y: f"cast(({x} - {x} % {y}) / {y} as {BIG})") if kind == BIG else (lambda x, y: f"({x} div {y})")
-        for layer, table in zip(self.layers, self.tables):
+        for layer, table, hot in zip(self.layers, self.tables, self.hot):
             row = [F.col(x).cast(kind).alias(x) for x in ("__start", "__end", "__bucket")]
             table = table.select(*map(c, (*layer.prefix, layer.variable)), c(W).cast(kind).alias("__rw"), *row)
-            if layer.prefix:
+            if layer.prefix and hot is None:
                 state = same_join(state, table, layer.prefix)
             else:
-                # deal the bucket's ranks into cells of equal width
-                total = table.agg(F.max("__end").alias("__total"))
-                width = f"({div('__total', CELLS)} + 1)"
-                cells = f"sequence(cast({div('__start', width)} as int), cast({div('(__end - 1)', width)} as int))"
-                table = table.crossJoin(F.broadcast(total)).withColumn("__cell", F.explode(F.expr(cells))).drop("__total")
-                state = state.crossJoin(F.broadcast(total)).withColumn("__i", F.expr(div("__r", div("__f", "__total"))))
-                state = state.withColumn("__cell", F.expr(f"cast({div('__i', width)} as int)")).drop("__total", "__i").join(table, "__cell").drop("__cell")
+                # deal the bucket's ranks into cells of equal width; all other buckets are one cell each
+                wide = table.agg(F.max("__end").alias("__total"), F.count("*").alias("__n")) if hot is None else hot
+                cells = F.greatest(F.lit(CELLS), F.expr(f"__n div {CELL_ROWS}")).cast(kind)
+                wide = wide.withColumn("__total", F.col("__total").cast(kind)).withColumn("__n", cells)
+                wide = wide.withColumn("__width", F.expr(f"cast({div('__total', '__n')} + 1 as {kind})")).drop("__n")
+                table, state = _beside(table, wide, layer.prefix), _beside(state, wide, layer.prefix)
+                cell = lambda x: f"coalesce(cast({div(x, '__width')} as bigint), -1)"
+                table = table.withColumn("__cell", F.explode(F.expr(f"sequence({cell('__start')}, {cell('(__end - 1)')})"))).drop("__total", "__width")
+                state = state.withColumn("__i", F.expr(div("__r", div("__f", "__total"))))
+                state = same_join(state.withColumn("__cell", F.expr(cell("__i"))).drop("__total", "__width", "__i"), table, [*layer.prefix, "__cell"]).drop("__cell")
             state = state.withColumn("__f", F.expr(div("__f", "__bucket"))).withColumn("__i", F.expr(div("__r", "__f")))
             state = state.where("__i >= __start and __i < __end")
             # the row's weight stands for its multiplicity and the buckets it opens

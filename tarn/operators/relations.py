@@ -17,6 +17,9 @@ W = "__w"  # answers below a tuple
 #: Beyond this many answers arithmetic moves from bigint to decimal(38,0).
 BIG = "decimal(38,0)"
 
+#: A bucket of more rows is dealt to several tasks.
+HOT_ROWS = 1 << 20
+
 
 def c(name: str) -> Column:
     """A column of just this name, dots included."""
@@ -84,28 +87,51 @@ def times(df: DataFrame, child: DataFrame, on: Sequence[str], weight: str, by: s
     return joined.withColumn(weight, (c(weight) * F.col("__s")).cast(kind)).drop("__s")
 
 
-def prefix_sums(df: DataFrame, prefix: Sequence[str], order: Sequence[tuple[str, int]], weight: str = W) -> DataFrame:
+def hot_buckets(df: DataFrame, prefix: Sequence[str], least: int = HOT_ROWS, weight: str = W) -> DataFrame | None:
+    """The buckets of more than ``least`` rows, with their total and number of rows; None if there are none.
+
+    At most rows / ``least`` of them exist; they are written, so that the planner
+    knows their size.
+    """
+    sizes = df.groupBy(*map(c, prefix)).agg(F.sum(c(weight)).alias("__total"), F.count("*").alias("__n"))
+    hot = written(sizes.where(F.col("__n") > least), "hot")
+    return None if hot.isEmpty() else hot
+
+
+def prefix_sums(df: DataFrame, prefix: Sequence[str], order: Sequence[tuple[str, int]], weight: str = W, hot: DataFrame | None = None) -> DataFrame:
     """``df`` with ``__start``, ``__end`` (running sums of the weight in a bucket) and ``__bucket`` (its total).
 
-    A bucket is what agrees on ``prefix``.  Without a prefix the rows are dealt by
-    ranges of the order, and each range adds the total of those before it: no
-    task sees all rows.  Tuples of ``prefix`` and ``order`` must be distinct.
+    A bucket is what agrees on ``prefix``.  Without a prefix, and in the buckets
+    that ``hot`` names, rows are dealt by ranges of the order, so that no task
+    sees a whole bucket.  Tuples of ``prefix`` and ``order`` must be distinct.
     """
-    keys = lex_columns(order)
-    if prefix:
-        bucket = Window.partitionBy(*map(c, prefix))
-        end = F.sum(c(weight)).over(bucket.orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
-        total = F.sum(c(weight)).over(bucket)
-        return df.withColumn("__end", end).withColumn("__start", F.col("__end") - c(weight)).withColumn("__bucket", total)
+    if not prefix:
+        return _ranged_sums(df, prefix, order, weight)
+    if hot is not None:
+        named = hot.select(*[c(v).alias(f"__h{i}") for i, v in enumerate(prefix)])
+        same = reduce(lambda a, b: a & b, [c(v).eqNullSafe(F.col(f"__h{i}")) for i, v in enumerate(prefix)])
+        split = _ranged_sums(df.join(named, same, "left_semi"), prefix, order, weight)
+        return prefix_sums(df.join(named, same, "left_anti"), prefix, order, weight).unionByName(split)
+    bucket = Window.partitionBy(*map(c, prefix))
+    end = F.sum(c(weight)).over(bucket.orderBy(*lex_columns(order)).rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum(c(weight)).over(bucket)
+    return df.withColumn("__end", end).withColumn("__start", F.col("__end") - c(weight)).withColumn("__bucket", total)
+
+
+def _ranged_sums(df: DataFrame, prefix: Sequence[str], order: Sequence[tuple[str, int]], weight: str) -> DataFrame:
+    """Prefix sums by ranges of bucket and order: each range adds what its bucket has in those before it."""
+    keys = lex_columns([*((v, 1) for v in prefix), *order])
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = written(df.repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id()), "ranged")
-    sums = ranged.groupBy("__part").agg(F.sum(c(weight)).alias("__s"))  # one row per range
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    all_ = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sums = sums.select("__part", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"), F.sum("__s").over(all_).alias("__bucket"))
-    within = Window.partitionBy("__part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    # one row per range, and one more for each bucket that begins within a range
+    sums = ranged.groupBy("__part", *map(c, prefix)).agg(F.sum(c(weight)).alias("__s"))
+    bucket = Window.partitionBy(*map(c, prefix))
+    before = bucket.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("__part", *map(c, prefix), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"), F.sum("__s").over(bucket).alias("__bucket"))
+    within = Window.partitionBy("__part", *map(c, prefix)).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
     ranged = ranged.withColumn("__run", F.sum(c(weight)).over(within))
-    joined = ranged.join(F.broadcast(sums), "__part")
+    # with a prefix their number follows that of hot buckets: the planner goes by the size of what was written
+    joined = same_join(ranged, written(sums, "sums") if prefix else F.broadcast(sums), ["__part", *prefix])
     return joined.withColumn("__end", F.col("__before") + F.col("__run")).withColumn("__start", F.col("__end") - c(weight)).drop("__part", "__run", "__before")
 
 

@@ -89,6 +89,19 @@ def test_every_rank(spark, shape, semantics):
     assert got == list(enumerate(want))
 
 
+@pytest.mark.parametrize("big", [False, True])
+def test_hot_buckets(spark, big):
+    """Buckets of more than two rows are split by ranges; nulls are a bucket and a value like others."""
+    data = {"R": [(a, a % 2) for a in range(9)], "S": [(b, x) for b in (0, 1) for x in (5, 3, None, 8, 1) if (b, x) != (1, 8)], "T": [(0, y) for y in range(4)] + [(1, 7)]}
+    cq = CQ.of([("R", "ab"), ("S", "bc"), ("T", "bd")], list("abcd"), {"b": -1, "a": 1, "c": -1, "d": 1})
+    i = LayeredIndex(cq, make(spark, cq, data), big=big, hot_rows=2)
+    plain = LayeredIndex(cq, make(spark, cq, data), big=big)
+    n = plain.count()
+    assert any(h is not None for h in i.hot) and all(h is None for h in plain.hot) and i.count() == n == 5 * 5 * 4 + 4 * 4
+    rows = [{int(r.k): (r.a, r.b, r.c, r.d) for r in x.top(n + 2).collect()} for x in (i, plain)]
+    assert rows[0] == rows[1] and sorted(rows[0]) == list(range(n))
+
+
 def test_order_of_atoms_and_completion(spark):
     rng = random.Random(5)
     atoms = [("R", "ab"), ("S", "bc"), ("T", "bd"), ("U", "b")]
