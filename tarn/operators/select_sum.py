@@ -3,16 +3,18 @@
 The sum is split into a part x of one atom and a part y of the other.  How many
 answers have x + y < p is counted for a batch of pivots p at once and without a
 join: within a join key the values x and p - y are sorted together, and a
-running sum of the first atom's weights is read off at the second's rows.  A
-few rounds of counting narrow the sum of rank k down; the answers of that sum
-alone are then joined and ordered.
+running sum of the first atom's weights is read off at the second's rows; a key
+of very many values is dealt by ranges to several tasks.  A few rounds of
+counting narrow the sum of rank k down; the answers of that sum alone are then
+joined and ordered.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,22 +22,26 @@ from ..plans.hypergraph import acyclic, sum_pair
 from ..plans.jointree import join_tree
 from ..plans.spec import CQ, NotTractable
 from .baseline import full_order
+from ..sources.scratch import written
 from .reduction import Part, reduce_query
-from .relations import BIG, M, W, c, lex_columns, times, weighted_sum
+from .relations import BIG, HOT_ROWS, M, W, c, hot_buckets, lex_columns, prefix_sums, times, weighted_sum
 
 #: Pivots of one counting round.
 PIVOTS = 32
 
 
 class SumSelection:
-    """Answers of a full acyclic query by ascending sum; ties are broken by ``lex``, then by the other variables' names."""
+    """Answers of a full acyclic query by ascending sum; ties are broken by ``lex``, then by the other variables' names.
 
-    def __init__(self, cq: CQ, tables: Mapping[str, DataFrame], semantics: str = "set", big: bool = False) -> None:
+    Join keys of more than ``hot_rows`` different parts of the sum are split among tasks.
+    """
+
+    def __init__(self, cq: CQ, tables: Mapping[str, DataFrame], semantics: str = "set", big: bool = False, hot_rows: int = HOT_ROWS) -> None:
         if not cq.sums:
             raise ValueError("the query has no sum_order")
         if not (cq.full and acyclic(cq.edges)):
             raise NotTractable("selection by sum needs a full acyclic query")
-        self.cq, self.big = cq, big
+        self.cq, self.big, self.hot_rows = cq, big, hot_rows
         self.parts = reduce_query(cq, tables, semantics, big)
         reduced = CQ.of([(str(i), p.variables) for i, p in enumerate(self.parts)], cq.free, None, dict(cq.sums))
         pair = sum_pair(reduced)
@@ -79,6 +85,14 @@ class SumSelection:
         key = sorted(edges[a] & edges[b])
         return (tables[a].select(*map(c, key), weighted_sum(mine).alias("__v"), W), tables[b].select(*map(c, key), weighted_sum(rest).alias("__v"), W), key)
 
+    @cached_property
+    def hot(self) -> DataFrame | None:
+        """The hot join keys (without join columns, one row); None if there are none."""
+        values = [df.select(*map(c, self.key), "__v").distinct() for df in (self.left, self.right)]
+        values = values[0].unionByName(values[1]).withColumn("__one", F.lit(1))
+        found = hot_buckets(values, self.key, self.hot_rows, "__one")
+        return found if found is None else found.select(*map(c, self.key))
+
     def count_below(self, pivots: Sequence[int]) -> DataFrame:
         """For every pivot p: the answers of a sum ``lt`` (less than p) and ``le`` (at most p)."""
         spark = self.left.sparkSession
@@ -88,11 +102,12 @@ class SumSelection:
         right = self.right.groupBy(*map(c, self.key), "__v").agg(F.sum(W).alias("__s")).withColumn("__l", zero)
         left, right = left.crossJoin(F.broadcast(ps)), right.crossJoin(F.broadcast(ps)).withColumn("__v", F.col("__p") - F.col("__v"))
         rows = left.unionByName(right).groupBy("__p", *map(c, self.key), "__v").agg(F.sum("__l").alias("__l"), F.sum("__s").alias("__s"))
-        window = Window.partitionBy("__p", *map(c, self.key)).orderBy("__v")
-        before = F.coalesce(F.sum("__l").over(window.rowsBetween(Window.unboundedPreceding, -1)), zero)
-        rows = rows.withColumn("__before", before)
+        hot = None
+        if self.hot is not None:
+            hot, rows = self.hot.crossJoin(F.broadcast(ps)), written(rows, "pivots")
+        rows = prefix_sums(rows, ["__p", *self.key], [("__v", 1)], "__l", hot)
         kind = BIG if self.big else "long"
-        found = rows.groupBy("__p").agg(F.sum(F.col("__s") * F.col("__before")).cast(kind).alias("lt"), F.sum(F.col("__s") * (F.col("__before") + F.col("__l"))).cast(kind).alias("le"))
+        found = rows.groupBy("__p").agg(F.sum(F.col("__s") * F.col("__start")).cast(kind).alias("lt"), F.sum(F.col("__s") * F.col("__end")).cast(kind).alias("le"))
         return ps.join(found, "__p", "left").select(F.col("__p").alias("pivot"), F.coalesce("lt", zero).alias("lt"), F.coalesce("le", zero).alias("le"))
 
     def bounds(self) -> tuple[int, int] | None:

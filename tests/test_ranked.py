@@ -151,6 +151,9 @@ def test_sums(spark, case):
         s.select_k(len(rows))
     pivots = sorted({r["sum"] for r in rows})[:3] + [10**6]
     assert {(r.pivot, r.lt, r.le) for r in s.count_below(pivots).collect()} == {(p, sum(r["sum"] < p for r in rows), sum(r["sum"] <= p for r in rows)) for p in pivots}
+    hot = SumSelection(cq, make(spark, cq, data), "bag", big=case % 2 == 1, hot_rows=2)
+    assert hot.hot is not None and s.hot is None
+    assert [(r.pivot, int(r.lt), int(r.le)) for r in hot.count_below(pivots).sort("pivot").collect()] == [(r.pivot, r.lt, r.le) for r in s.count_below(pivots).sort("pivot").collect()]
     assert s.trim(pivots[1], below=True).count() == sum(r["sum"] < pivots[1] for r in rows)
     assert s.trim(pivots[1], below=False).count() == sum(r["sum"] > pivots[1] for r in rows)
 
@@ -197,7 +200,8 @@ def test_f3(spark):
 
 def test_medians(spark):
     df = spark.createDataFrame([("g", 2, 1), ("g", 3, 4), ("g", 5, 1), ("h", 9, 3), ("h", 1, 3)], "g string, v long, w long")
-    assert {(r.g, r.median) for r in medians.weighted_median(df, "v", "w", ["g"]).collect()} == {("g", 3), ("h", 9)}
+    for most in (1 << 20, 1):
+        assert {(r.g, r.median) for r in medians.weighted_median(df, "v", "w", ["g"], most).collect()} == {("g", 3), ("h", 9)}
     assert medians.weighted_quickselect(df, "v", "w", 0).first().v == 1
     assert medians.weighted_quickselect(df, "v", "w", 0, descending=True).first().v == 9
     assert medians.weighted_quickselect(df, "v", "w", 12).count() == 0
