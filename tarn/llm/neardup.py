@@ -308,18 +308,14 @@ def _verify(common: np.ndarray, idf: np.ndarray, p: NearDup):
 
     def links(group: list[pa.RecordBatch]) -> list[tuple[int, ...]]:
         t = pa.Table.from_batches(group)
-        keys = list(zip(t.column("k1").to_pylist(), t.column("k2").to_pylist()))
-        seen: dict[tuple[int, int], int] = {}
-        for i, k in enumerate(keys):
-            seen.setdefault(k, i)
-        if len(seen) < 2:
+        if t.num_rows < 2:
             return []
-        at = list(seen.values())
-        column = t.column("text").combine_chunks().take(pa.array(at))
-        return [(*keys[at[x]], *keys[at[y]]) for x, y in similar_links(column, common, idf, p)]
+        keys = list(zip(t.column("k1").to_pylist(), t.column("k2").to_pylist()))
+        return [(*keys[x], *keys[y]) for x, y in similar_links(t.column("text").combine_chunks(), common, idf, p)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
+        seen: set[tuple[int, int]] = set()
         current = None
         found: list[tuple[int, ...]] = []
 
@@ -336,8 +332,17 @@ def _verify(common: np.ndarray, idf: np.ndarray, p: NearDup):
                 if current is not None and g[a] != current:
                     found += links(waiting)
                     waiting = []
+                    seen.clear()
                 current = g[a]
-                waiting.append(batch.slice(a, b - a))
+                part = batch.slice(a, b - a)
+                # rows that repeat doc_id and text bring one text more than once: only the first is held
+                new = []
+                for i, k in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
+                    if k not in seen:
+                        seen.add(k)
+                        new.append(i)
+                if new:
+                    waiting.append(part if len(new) == part.num_rows else part.take(pa.array(new)))
             if len(found) > 50_000:
                 yield flush()
                 found.clear()
