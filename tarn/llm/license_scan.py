@@ -1,13 +1,19 @@
 """Licence scans: a trained paragraph classifier, confirmed against templates.
 
-A unit is a line, or a window of ``window`` words of a longer one (windows
-overlap by half).  Word 1- to 3-grams that occur in the training statements are
-the sparse features of a multinomial logistic regression over the licence
-families and an unknown class.  Its probabilities are calibrated by a
-temperature fitted on held-out units; a family is reported where its calibrated
-probability is ``least`` or more and above that of the unknown class.  The best
-matching template of that family is then compared with the unit: the finding is
-confirmed if the template's words pairs are covered to ``cover`` or more.
+A paragraph is a run of lines without one between them that has no word (marks
+of comments are no words).  Statements are found first: the runs of words in a
+paragraph, wrapped over lines or not, that hold ``cover`` or more of the word
+pairs of a template.  The words that no statement takes are then judged by lines
+and, what is left, by paragraphs, in windows of ``window`` words that overlap by
+half.
+
+Word 1- to 3-grams that occur in the training statements are the sparse features
+of a multinomial logistic regression over the licence families and an unknown
+class.  Its probabilities are calibrated by a temperature fitted on held-out
+units.  A unit names the families of probability ``low`` or more, and above that
+of the unknown class, if all families together have ``least`` or more.  A
+statement counts if the unit of its own words names its family; its finding is
+confirmed.
 
 Negatives are lines of the corpus: a bounded sample of ``negatives`` of them.
 """
@@ -109,6 +115,7 @@ class LicenseScan:
     negatives: int = 2000
     window: int = 48
     least: float = 0.5
+    low: float = 0.2
     cover: float = 0.6
     copies: int = 60
     steps: int = 400
@@ -144,17 +151,20 @@ class Classifier:
     def __post_init__(self) -> None:
         self.table = np.zeros(1 << 18, bool)
         self.table[self.vocabulary >> np.uint64(46)] = True
+        self.length = [len(words_hash(text)) for _, text, _ in self.templates]
+        self.pair_of = [np.isin(self.vocabulary, pairs) for _, _, pairs in self.templates]
+
+    def known_of(self, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Position and feature of every known run of k words."""
+        g = grams(h, k)
+        some = np.flatnonzero(self.table[g >> np.uint64(46)])
+        place = np.minimum(np.searchsorted(self.vocabulary, g[some]), len(self.vocabulary) - 1)
+        hit = self.vocabulary[place] == g[some]
+        return some[hit], place[hit]
 
     def known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Position and feature of every known n-gram in a word sequence."""
-        at, which = [], []
-        for k in (1, 2, 3):
-            g = grams(h, k)
-            some = np.flatnonzero(self.table[g >> np.uint64(46)])
-            place = np.minimum(np.searchsorted(self.vocabulary, g[some]), len(self.vocabulary) - 1)
-            hit = self.vocabulary[place] == g[some]
-            at.append(some[hit])
-            which.append(place[hit])
+        at, which = zip(*(self.known_of(h, k) for k in (1, 2, 3)))
         return np.concatenate(at), np.concatenate(which)
 
     def features(self, h: np.ndarray) -> np.ndarray:
@@ -167,16 +177,114 @@ class Classifier:
         z = np.exp(z - z.max(-1, keepdims=True))
         return z / z.sum(-1, keepdims=True)
 
-    def judge(self, h: np.ndarray) -> tuple[str, float, str, float] | None:
-        """Family, calibrated probability, best template and how much of it is covered; None if unknown."""
-        p = self.probabilities(self.features(h))
-        best = int(np.argmax(p))
-        if best == len(self.families) or p[best] < self.params.least:
-            return None
+    def judge(self, h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Calibrated probabilities of the units ``h[first:last]``; one without known words is of the unknown class."""
+        z, some = np.zeros((len(first), self.weights.shape[1])), np.zeros(len(first), bool)
+        for k in (1, 2, 3):
+            at, which = self.known_of(h, k)
+            lo = np.searchsorted(at, first)
+            n = np.maximum(np.searchsorted(at, last - k, side="right") - lo, 0)
+            for a in range(0, len(n), 2048):
+                have = np.flatnonzero(n[a : a + 2048]) + a
+                if len(have):
+                    begin = np.cumsum(n[have]) - n[have]
+                    rows = np.arange(n[have].sum()) + np.repeat(lo[have] - begin, n[have])
+                    z[have] += np.add.reduceat(self.weights[which[rows]], begin)
+                    some[have] = True
+        z = (z / np.sqrt(np.maximum(1, last - first))[:, None] + self.bias) / self.temperature
+        z = np.exp(z - z.max(-1, keepdims=True, initial=0.0))
+        z /= z.sum(-1, keepdims=True)
+        z[~some] = np.eye(z.shape[1])[-1]
+        return z
+
+    def families_of(self, p: np.ndarray) -> list[int]:
+        """The families that a unit of these probabilities names.
+
+        Those of probability ``low`` or more, and above that of the unknown
+        class, where the families together have ``least`` or more: a unit may
+        name two licences, of which neither has ``least`` alone.
+        """
+        if 1 - p[-1] < self.params.least:
+            return []
+        return [int(f) for f in np.flatnonzero((p[:-1] >= self.params.low) & (p[:-1] > p[-1]))]
+
+    def best_template(self, h: np.ndarray, family: int) -> tuple[str, float]:
+        """The template of the family that the unit covers most, and how much of it."""
         pairs = np.unique(grams(h, 2 if len(h) > 1 else 1))
-        family = self.families[best]
-        cover, text = max((float(np.isin(t, pairs).mean()), text) for f, text, t in self.templates if f == family)
-        return family, float(p[best]), text, cover
+        cover, text = max((float(np.isin(t, pairs).mean()), text) for f, text, t in self.templates if f == self.families[family])
+        return text, cover
+
+    def statements(self, h: np.ndarray, paragraph: np.ndarray) -> list[tuple[int, int, int, float, float]]:
+        """Template, first and last word (exclusive), probability and cover of each statement.
+
+        A statement is a shortest run of words of a paragraph, at most half longer
+        than a template (four words at least), with the most different word pairs
+        of it, ``cover`` of them or more.  Of those that share more than half
+        of their pairs the one with the most pairs counts; the others only where
+        they hold the whole template of another family and a pair of their own.
+        """
+        at, which = self.known_of(h, 2)
+        inside = paragraph[at] == paragraph[np.minimum(at + 1, len(h) - 1)]
+        at, which = at[inside], which[inside]
+        found = []
+        for t, (_, text, pairs) in enumerate(self.templates):
+            mine = self.pair_of[t][which]
+            need = max(1, int(np.ceil(self.params.cover * len(pairs) - 1e-9)))
+            if mine.sum() < need:
+                continue
+            pos, pair = at[mine], which[mine]
+            reach = self.length[t] + max(4, self.length[t] // 2) - 2
+            key = pos + paragraph[pos] * (reach + 1)  # far apart in different paragraphs
+            near = np.flatnonzero(key[need - 1 :] - key[: len(key) - need + 1] <= reach)
+            if not len(near):
+                continue
+            end = np.searchsorted(key, key[near] + reach, side="right")
+            fresh = np.concatenate(([True], near[1:] >= np.maximum.accumulate(end)[:-1]))
+            ends = np.maximum.accumulate(end)[np.concatenate((np.flatnonzero(fresh)[1:] - 1, [len(near) - 1]))]
+            for a, b in zip(near[fresh].tolist(), ends.tolist()):
+                found += [(t, len(pairs), hit) for hit in _densest(key[a:b].tolist(), pos[a:b].tolist(), pair[a:b].tolist(), need, reach)]
+        if not found:
+            return []
+        first, last = np.array([hit[0] for *_, hit in found]), np.array([hit[-1] + 2 for *_, hit in found])
+        p = self.judge(h, first, last)
+        out, claimed = [], {}
+        order = sorted(range(len(found)), key=lambda i: (-len(found[i][2]), found[i][1], int(last[i] - first[i]), int(first[i]), found[i][0]))
+        for i in order:
+            t, m, hit = found[i]
+            family = self.families.index(self.templates[t][0])
+            taken = [claimed[x] for x in hit if x in claimed]
+            if 2 * len(taken) > len(hit) and (len(taken) == len(hit) or len(hit) < m or family in taken):
+                continue
+            if family in self.families_of(p[i]):
+                claimed.update((x, family) for x in hit if x not in claimed)
+                out.append((t, int(first[i]), int(last[i]), float(p[i][family]), len(hit) / m))
+        return out
+
+
+def _densest(key: list[int], pos: list[int], pair: list[int], need: int, reach: int) -> list[list[int]]:
+    """Disjoint runs of at most ``reach`` with the most different pairs, ``need`` or more: the places of their pairs."""
+    out, free = [], [True] * len(key)
+    while True:
+        runs = []
+        for i in range(len(key)):
+            if not free[i]:
+                continue
+            seen: dict[int, int] = {}
+            j = i
+            while j < len(key) and free[j] and key[j] - key[i] <= reach:
+                seen.setdefault(pair[j], j)
+                j += 1
+            if len(seen) >= need:
+                end = max(seen.values())
+                runs.append((-len(seen), key[end] - key[i], i, end, seen))
+        taken = False
+        for _, _, i, end, seen in sorted(runs, key=lambda r: r[:4]):
+            if all(free[i : end + 1]):
+                free[i : end + 1] = [False] * (end + 1 - i)
+                out.append(sorted(pos[j] for j in seen.values()))
+                taken = True
+        if not taken:
+            return out
 
 
 def train(negatives: list[str], p: LicenseScan = LicenseScan()) -> Classifier:
@@ -246,53 +354,105 @@ def corpus_lines(docs: DataFrame, n: int, text: str = "text", order: str = "doc_
     return sorted(x for r in lines.collect() for x in r.l)[:: 2]
 
 
-def _units(w: Words, p: LicenseScan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Line number (within its document) of every word, and first and last word of every line."""
+#: Words that only mark a comment where a line starts with them.
+_COMMENT = np.array([words_hash(x)[0] for x in ("rem", "dnl", "c")])
+
+
+def _lines(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Line number (within its document) of every word, and its document."""
     newline = np.cumsum(w.data == 10)
     line = newline[w.start] if len(w.start) else np.zeros(0, np.int64)
     base = np.concatenate(([0], newline))[w.base[:-1]] if len(w.data) else np.zeros(w.n_docs, np.int64)
     doc = w.doc_of_word()
-    line = line - base[doc]
-    change = np.flatnonzero((line[1:] != line[:-1]) | (doc[1:] != doc[:-1])) + 1
-    return line, np.concatenate(([0], change)), np.concatenate((change, [len(line)]))
+    return line - base[doc], doc
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether any of the columns differs from the row before; the first row does."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = False
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def _windows(begins: np.ndarray, keep: np.ndarray, p: LicenseScan) -> tuple[np.ndarray, np.ndarray]:
+    """First and last word (exclusive) of the windows of the runs that start where ``begins``; of kept words only."""
+    first = np.flatnonzero(begins)
+    last = np.concatenate((first[1:], [len(begins)]))
+    first, last = first[keep[first]], last[keep[first]]
+    half = p.window // 2
+    n = np.maximum(1, -(-(last - first - half) // half))
+    s = np.repeat(first, n) + half * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    return s, np.minimum(np.repeat(last, n), s + p.window)
+
+
+def _mentions(model: Classifier, h: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[tuple]:
+    """(family, first and last word, probability, template, cover) of windows; overlapping ones of a family are one."""
+    p = model.judge(h, first, last)
+    out: dict[int, list[list]] = {}
+    for u in np.flatnonzero(1 - p[:, -1] >= model.params.least).tolist():
+        a, b = int(first[u]), int(last[u])
+        for f, probability in ((f, float(p[u, f])) for f in model.families_of(p[u])):
+            found = [a, b, probability, *model.best_template(h[a:b], f)]
+            mine = out.setdefault(f, [])
+            if mine and a < mine[-1][1]:
+                one = mine[-1]
+                one[1] = b
+                one[2] = max(one[2], found[2])
+                if found[4] > one[4]:
+                    one[3:] = found[3:]
+            else:
+                mine.append(found)
+    return [(f, *x) for f, found in out.items() for x in found]
 
 
 def scan_licenses(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per line and family found: doc_id, line (from 0), family, probability, template, cover, confirmed.
+    """One row per statement and mention: doc_id, line (from 0), family, probability, template, cover, confirmed, first_word, last_word.
 
-    Of the windows of a line the most probable counts.  Null and empty texts and
-    texts without known words give no row; repeated rows give repeated findings;
-    other columns are not read.
+    The words are numbered within the document from 0, ``last_word`` included;
+    ``line`` is that of the first one.  Null and empty texts and texts without
+    known words give no row; repeated rows give repeated findings; other columns
+    are not read.
     """
     p = model.params
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, tuple | None] = {}
         for batch in batches:
             ids, rows = batch.column(0), []
             for w in words_of(batch.column(1)):
                 if not len(w.hash):
                     continue
-                at = np.unique(model.known(w.hash)[0])
-                line, first, last = _units(w, p)
-                for u in np.unique(np.searchsorted(first, at, side="right") - 1).tolist():
-                    a, b = int(first[u]), int(last[u])
-                    best: dict[str, tuple] = {}
-                    for s in range(a, max(a + 1, b - p.window // 2), p.window // 2):
-                        h = w.hash[s : min(b, s + p.window)]
-                        key = h.tobytes()
-                        if key not in cache:
-                            if len(cache) > 100_000:
-                                cache.clear()
-                            cache[key] = model.judge(h)
-                        if (found := cache[key]) is not None and found[1] > best.get(found[0], (0, 0.0))[1]:
-                            best[found[0]] = found
-                    doc = int(np.searchsorted(w.bounds, a, side="right")) - 1
-                    for found in best.values():
-                        rows.append((ids[w.first + doc].as_py(), int(line[a]), *found, found[3] >= p.cover))
+                line, doc = _lines(w)
+                words = np.flatnonzero(~(_changes(line, doc) & np.isin(w.hash, _COMMENT)))
+                if not len(words):
+                    continue
+                h, line, doc = w.hash[words], line[words], doc[words]
+                blank = np.zeros(len(h), np.int64)
+                blank[1:] = np.cumsum(np.diff(line) > 1)
+                paragraph = np.cumsum(_changes(blank, doc))
+                found, claimed = [], np.zeros(len(h), bool)
+                for t, a, b, probability, cover in model.statements(h, paragraph):
+                    family, template, _ = model.templates[t]
+                    found.append((family, a, b, probability, template, cover))
+                    claimed[a:b] = True
+                # mentions in what is left: first those within lines, then those across them
+                for across in (False, True):
+                    first, last = _windows(_changes(paragraph if across else line, doc, claimed), ~claimed, p)
+                    if across:
+                        more = line[first] != line[last - 1]
+                        first, last = first[more], last[more]
+                    for f, a, b, *rest in _mentions(model, h, first, last):
+                        found.append((model.families[f], a, b, *rest))
+                        claimed[a:b] = True
+                for family, a, b, probability, template, cover in sorted(found, key=lambda x: (x[1], x[2], x[0])):
+                    d = int(doc[a])
+                    zero = int(w.bounds[d])
+                    rows.append((ids[w.first + d].as_py(), int(line[a]), family, probability, template, cover, cover >= p.cover, int(words[a]) - zero, int(words[b - 1]) - zero))
             if rows:
-                types = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string(), pa.float64(), pa.bool_()]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "line", "family", "probability", "template", "cover", "confirmed"])
+                types = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string(), pa.float64(), pa.bool_(), pa.int64(), pa.int64()]
+                names = ["doc_id", "line", "family", "probability", "template", "cover", "confirmed", "first_word", "last_word"]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    kinds = "doc_id long, line long, family string, probability double, template string, cover double, confirmed boolean"
+    kinds = "doc_id long, line long, family string, probability double, template string, cover double, confirmed boolean, first_word long, last_word long"
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, kinds)

@@ -191,6 +191,28 @@ def test_licenses_of_a_table(spark):
     assert len(got - want) <= 0.05 * len(want)
 
 
+MIT_NOTICE = """Permission is hereby granted, free of charge, to any person obtaining a
+copy of this software and associated documentation files (the "Software"),
+to deal in the Software without restriction, including without limitation
+the rights to use, copy, modify, merge, publish, distribute, sublicense."""
+BSD_NOTICE = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:"""
+GPL_NOTICE = """This program is free software: you can redistribute it and/or modify it
+under the terms of the GNU General Public License as published by the
+Free Software Foundation, either version 3 of the License, or (at your
+option) any later version."""
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// ", "REM ", "dnl "])
+def test_wrapped_licenses(spark, mark):
+    notices = [(MIT_NOTICE, "MIT"), (BSD_NOTICE, "BSD-3-Clause"), (GPL_NOTICE, "GPL-3.0")]
+    rows = [(i, "\n".join(mark + x for x in ["Some prose", "", *t.split("\n"), "", "More of it"])) for i, (t, _) in enumerate(notices)]
+    model = license_scan.train(["Some prose of many words", "lorem ipsum dolor sit amet", "Another plain line"])
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), model).where("confirmed").collect()
+    assert sorted((r.doc_id, r.line, r.family) for r in got) == [(i, 2, f) for i, (_, f) in enumerate(notices)]
+
+
 def check_packing(rows, size=2048):
     bins = {}
     for r in rows:
