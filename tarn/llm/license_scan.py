@@ -152,6 +152,12 @@ class Classifier:
         self.table = np.zeros(1 << 18, bool)
         self.table[self.vocabulary >> np.uint64(46)] = True
         self.length = [len(words_hash(text)) for _, text, _ in self.templates]
+        # the family whose templates alone hold an n-gram, or -1
+        held = np.zeros((len(self.families), len(self.vocabulary)), bool)
+        for f, text, _ in self.templates:
+            for k in (1, 2, 3):
+                held[self.families.index(f)] |= np.isin(self.vocabulary, grams(words_hash(text), k))
+        self.only = np.where(held.sum(0) == 1, held.argmax(0), -1)
         self.pair_of = [np.isin(self.vocabulary, pairs) for _, _, pairs in self.templates]
 
     def known_of(self, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,6 +214,30 @@ class Classifier:
             return []
         return [int(f) for f in np.flatnonzero((p[:-1] >= self.params.low) & (p[:-1] > p[-1]))]
 
+    def named(self, h: np.ndarray) -> list[tuple[int, float]]:
+        """Families that a unit names, each with its probability.
+
+        One family can outweigh the others, so the words that only its templates
+        hold are left out and the rest is judged again, until it names no other
+        family of which it has such words.
+        """
+        out: dict[int, float] = {}
+        while len(h):
+            p = self.judge(h, np.array([0]), np.array([len(h)]))[0]
+            hits = [(k, *self.known_of(h, k)) for k in (1, 2, 3)]
+            new = [f for f in self.families_of(p) if f not in out and (not out or any((self.only[which] == f).any() for _, _, which in hits))]
+            if not new:
+                break
+            out |= {f: float(p[f]) for f in new}
+            keep = np.ones(len(h), bool)
+            for k, at, which in hits:
+                for j in range(k):
+                    keep[at[np.isin(self.only[which], new)] + j] = False
+            if keep.all():
+                break
+            h = h[keep]
+        return list(out.items())
+
     def best_template(self, h: np.ndarray, family: int) -> tuple[str, float]:
         """The template of the family that the unit covers most, and how much of it."""
         pairs = np.unique(grams(h, 2 if len(h) > 1 else 1))
@@ -393,7 +423,7 @@ def _mentions(model: Classifier, h: np.ndarray, first: np.ndarray, last: np.ndar
     out: dict[int, list[list]] = {}
     for u in np.flatnonzero(1 - p[:, -1] >= model.params.least).tolist():
         a, b = int(first[u]), int(last[u])
-        for f, probability in ((f, float(p[u, f])) for f in model.families_of(p[u])):
+        for f, probability in model.named(h[a:b]):
             found = [a, b, probability, *model.best_template(h[a:b], f)]
             mine = out.setdefault(f, [])
             if mine and a < mine[-1][1]:

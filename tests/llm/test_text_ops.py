@@ -213,6 +213,20 @@ def test_wrapped_licenses(spark, mark):
     assert sorted((r.doc_id, r.line, r.family) for r in got) == [(i, 2, f) for i, (_, f) in enumerate(notices)]
 
 
+def test_every_statement_of_a_line(spark):
+    """Statements of one family in a long line, loose mentions before a full statement, and two licences in one unit."""
+    prose = " ".join(["lorem ipsum dolor"] * 40)
+    loose = "MIT license MIT license the MIT license of MIT license"
+    many = f"{prose} Released under the MIT License. {prose} Released under the MIT License. {prose}"
+    hidden = f"{loose} {prose} Released under the MIT License. {prose} {loose}"
+    rows = [(1, many), (2, hidden), (3, "SPDX-License-Identifier: MIT OR Apache-2.0"), (4, "Licensed under MIT or Apache-2.0")]
+    model = license_scan.train(["Some prose of many words", "lorem ipsum dolor sit amet", "Another plain line"])
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    sure = sorted((r.doc_id, r.family, r.first_word, r.last_word) for r in got if r.confirmed)
+    assert sure == [(1, "MIT", 120, 124), (1, "MIT", 245, 249), (2, "MIT", 130, 134), (3, "Apache-2.0", 0, 7), (3, "MIT", 0, 3)]
+    assert {r.family for r in got if r.doc_id == 4} == {"MIT", "Apache-2.0"}
+
+
 def check_packing(rows, size=2048):
     bins = {}
     for r in rows:
