@@ -356,15 +356,8 @@ def _verify(common: np.ndarray, idf: np.ndarray, p: NearDup):
 # --------------------------------------------------------------------------- the operator
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p: NearDup = NearDup()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (the least doc_id of its class), kept (whether it is that one).
-
-    * A null text is a class of its own; so is one without words unless an
-      equal text exists.  A document of one to four words is one shingle.
-    * Rows of equal doc_id and words share a class and their ``kept``.  Null ids
-      take part; a class that holds nothing else has the class_id null.
-    * Other columns are not read; an empty table gives an empty result.
-    """
+def _classes(docs: DataFrame, doc_id: str, text: str, p: NearDup) -> tuple[DataFrame, DataFrame]:
+    """Every row's doc_id, th (hash of its text), k1 and k2 (its words), and of words that are not alone their root and class_id."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     common, share = common_shingles(rows, p)
     idf = idf_of(share, p.common)
@@ -397,8 +390,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     classes = copies.join(roots, ["k1", "k2"], "left").select("k1", "k2", F.col("least").alias("doc_id"), F.coalesce("root", F.struct("k1", "k2")).alias("root"), "n", F.col("root").isNotNull().alias("linked"))
     least = classes.where("linked").groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    classes = classes.where("linked or n > 1").join(least, "root", "left").select("k1", "k2", F.coalesce("class_id", "doc_id").alias("class_id"))
-    classes = written(classes, "classes")
+    classes = classes.where("linked or n > 1").join(least, "root", "left").select("k1", "k2", "root", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return signed, written(classes, "classes")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p: NearDup = NearDup()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id (the least doc_id of its class), kept (whether it is that one).
+
+    * A null text is a class of its own; so is one without words unless an
+      equal text exists.  A document of one to four words is one shingle.
+    * Rows of equal doc_id and words share a class and their ``kept``.  Null ids
+      take part; a class that holds nothing else has the class_id null.
+    * Other columns are not read; an empty table gives an empty result.
+    """
+    signed, classes = _classes(docs, doc_id, text, p)
     out = signed.join(classes, ["k1", "k2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
@@ -408,10 +413,25 @@ def _parts(df: DataFrame) -> int:
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p: NearDup = NearDup()) -> DataFrame:
-    """``docs`` without the documents that are not the least of their class.
+    """Exactly one row of each class: that of the least doc_id (null last), of these that of the least hash of its text.
 
-    Rows of a null doc_id stay.  Columns are those of ``docs``.
+    Of rows with equal doc_id and text one stays, by a hash of the other columns.
+    Rows of null text are classes of their own and all stay.  Columns are those of
+    ``docs``.
     """
-    gone = near_duplicates(docs, doc_id, text, p).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = written(gone, "gone")
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    signed, classes = _classes(docs, doc_id, text, p)
+    rows = signed.join(classes, ["k1", "k2"]).groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
+    rows = written(rows, "class-rows")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    rows = rows.join(first, "root").where(~stays | (F.col("n") > 1))
+    rows = written(rows.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), stays.alias("_stays")), "gone")
+
+    same = docs[doc_id].cast("long").eqNullSafe(rows["_id"]) & docs[text].isNotNull() & (F.xxhash64(docs[text]) == rows["_th"])
+    left = docs.join(rows, same, "left_anti")
+    if rows.where("_stays").isEmpty():
+        return left
+    repeated = docs.join(rows.where("_stays"), same)
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    one = repeated.groupBy("_id", "_th").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*hashed)).alias("_row"))
+    return left.unionByName(one.select("_row.*"))

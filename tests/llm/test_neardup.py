@@ -106,6 +106,18 @@ def test_edges(spark, block):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_class(spark):
+    """Ids that repeat with other texts, rows that repeat, and null ids."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "p"), (7, a, "p"), (7, b, "q"), (9, b + "!", "q"), (3, c, "x"), (3, c, "y"), (3, c, "y"), (None, c, "z"), (None, "n " + a[:20], "z"), (None, "n " + a[:20], "z"), (4, None, "w"), (4, None, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k1 string")
+    left = neardup.drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    assert got == sorted([(1, a), (7, b), (3, c), (None, "n " + a[:20]), (4, None), (4, None)], key=str)
+    assert neardup.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
 def test_common_shingles(spark):
     rows = [(i, f"all of us say this here and {i} {i} {i}" + (" half of us say that too" if i % 2 else "")) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
