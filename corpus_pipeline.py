@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarn.llm import decontam, langid, neardup, packing, secrets
 from tarn.sources.scratch import written
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is null or has no letter go; labels of held-out documents are not learned from."""
+    """Documents go whose text is null, has no letter, or is further from every language's codeword than labelled texts are.
+
+    Labels of held-out documents are not learned from; without any label only the letters count.
+    """
     model = langid.fit(docs.where(~langid.held_out()))
+    if model is None:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     found = langid.identify(docs, model)
-    return found.where(found["_lang.lang"] != langid.UNKNOWN).select(*docs.columns) if model else found.select(*docs.columns)
+    return found.where((found["_lang.lang"] != langid.UNKNOWN) & (found["_lang.distance"] <= model.limit)).select(*docs.columns)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document of the least doc_id stays."""
+    """Of each class of near-duplicates one row stays, of the least doc_id."""
     return neardup.drop_near_duplicates(docs)
 
 

@@ -104,6 +104,8 @@ class Model:
     weights: np.ndarray  # dims x bits
     bias: np.ndarray
     params: LangId
+    #: Texts whose nearest codeword has a greater loss per bit are of no language.
+    limit: float = np.inf
 
     def losses(self, x: np.ndarray) -> np.ndarray:
         """Loss per bit of every document to every codeword."""
@@ -128,7 +130,10 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], p: LangId) -> Mode
         vw = 0.9 * vw - 8.0 * (x.T @ z.astype(np.float32) + 1e-5 * w)
         vb = 0.9 * vb - 1.0 * z.sum(0)
         w, b = w + vw, b + vb
-    return Model(languages, code, w, b, p)
+    # calibrated: as far as any labelled text is, half the loss of coin flips at least
+    margin = x @ w.astype(np.float32) + b
+    loss = (np.logaddexp(0, -margin) @ (code.T > 0) + np.logaddexp(0, margin) @ (code.T < 0)) / code.shape[1]
+    return Model(languages, code, w, b, p, max(float(np.log(2)) / 2, float(loss.min(1).max())))
 
 
 def fit(labelled: DataFrame, p: LangId = LangId(), text: str = "text", lang: str = "lang", order: str = "doc_id") -> Model | None:
@@ -168,7 +173,9 @@ def fit(labelled: DataFrame, p: LangId = LangId(), text: str = "text", lang: str
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` with ``_lang``: struct(lang, score, margin, ambiguous).
+    """``docs`` with ``_lang``: struct(lang, score, margin, ambiguous, distance).
+
+    ``distance`` is the loss per bit to the nearest codeword, infinite for ``und``.
 
     A null text, or one without a letter, is ``und`` with score 0, as is
     everything where no model could be learned.  Other columns pass through.
@@ -177,7 +184,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
         raise ValueError("columns _lang and _letter are reserved")
     inner = docs.withColumn("_letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema)
-    out_type = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("ambiguous", pa.bool_())])
+    out_type = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("ambiguous", pa.bool_()), ("distance", pa.float64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,12 +202,12 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
                     score = 1 / odds.sum(1)
                 for d in range(len(x)):
                     if model and letter[a + d]:
-                        result.append({"lang": model.languages[best[d]], "score": float(score[d]), "margin": float(gap[d]), "ambiguous": bool(gap[d] < model.params.ambiguous)})
+                        result.append({"lang": model.languages[best[d]], "score": float(score[d]), "margin": float(gap[d]), "ambiguous": bool(gap[d] < model.params.ambiguous), "distance": float(loss[d, best[d]])})
                     else:
-                        result.append({"lang": UNKNOWN, "score": 0.0, "margin": 0.0, "ambiguous": True})
+                        result.append({"lang": UNKNOWN, "score": 0.0, "margin": 0.0, "ambiguous": True, "distance": float("inf")})
             yield pa.record_batch([*batch.columns, pa.array(result, out_type)], [*names, "_lang"])
 
-    kinds += ", _lang struct<lang:string,score:double,margin:double,ambiguous:boolean>"
+    kinds += ", _lang struct<lang:string,score:double,margin:double,ambiguous:boolean,distance:double>"
     return inner.mapInArrow(run, kinds).drop("_letter")
 
 
