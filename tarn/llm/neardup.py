@@ -1,42 +1,45 @@
-"""Near-duplicate classes by consistent weighted sampling.
+"""Near-duplicate classes by consistent weighted sampling over TF-IDF shingles.
 
 1. Every document becomes a weighted set of shingles of five words.  A
-   shingle's weight is ``(1 + ln count) * idf``.
-2. ``idf = 1 + ln(1 / max(share, COMMON)) / ln(1 / COMMON)``, where share is the
-   exact share of documents that hold the shingle: 2 for all shingles in at
-   most ``COMMON`` of the documents, falling to 1 for one that all hold.  Only
-   shingles above that share need a number of their own, and there are at most
-   ``mean shingles per document / COMMON`` of them however large the corpus, so
-   their table may be broadcast.  They are found exactly in two passes, see
-   :func:`common_shingles`.
+   shingle's weight is ``(1 + ln count) * idf`` with
+   ``idf = 1 + ln((1 + N) / (1 + df))``: N documents, df of them hold it.
+2. The rows are laid out once in blocks of about ``unit`` shingles.  A block
+   sends its different shingles, packed and dealt by ranges of their hashes, to
+   be counted; what comes back, dealt by block, are the counts of those that two
+   documents or more hold (all others have df = 1).  So neither texts nor single
+   shingles are shuffled, and a block's counts fit in a task's memory.
 3. Improved consistent weighted sampling draws ``bands * rows`` samples per
    document; two documents agree in a sample with the probability of their
    weighted Jaccard similarity.
-4. Documents that agree in all samples of a band share a bucket.  A bucket is
-   cut into blocks, every pair of blocks is one bounded group, and within it the
-   weighted Jaccard similarity of all pairs is computed exactly.  A group
-   returns at most one link per member: those of a spanning forest.
+4. Documents that agree in all samples of a band share a bucket.  The exact
+   weighted Jaccard similarity is computed in two steps.  First every member is
+   compared with the bucket's ``pivots``.  Only buckets whose members are not in
+   one class by then go on: there, the members outside the largest class are
+   compared with all others, in bounded groups.  No link between different
+   classes is lost, and a bucket of m copies costs m comparisons.
 5. Classes are the connected components of the links.
 
-Copies whose words are the same in the same order count as one document from
-step 4 on, so large groups of copies cost nothing there.
+Rows whose words are the same in the same order count as one document from step
+3 on, so large groups of copies cost nothing there.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard, written
 from .components import connected_components
-from ..sources.scratch import written
-from .textvec import Words, mix, shingle_counts, words_of
+from .lookup import Lookup, deal
+from .textvec import SHINGLE_BITS, Words, mix, shingle_counts, words_of
 
 
 @dataclass(frozen=True)
@@ -47,133 +50,260 @@ class NearDup:
     threshold: float = 0.8
     bands: int = 14
     rows: int = 4
-    common: float = 0.05
+    pivots: int = 4
     block: int = 256
     seed: int = 20
+    #: Shingles of a block of rows, and of a range of hashes that is counted at once.
+    unit: int = 2_000_000
 
 
-_TABLE_BITS = 16
-_FLUSH = 4_000_000
+def idf_of(df: np.ndarray, n: int) -> np.ndarray:
+    return 1 + np.log((1 + n) / (1 + df))
 
 
-def idf_of(share: np.ndarray, common: float) -> np.ndarray:
-    return 1 + np.log(1 / np.maximum(share, common)) / math.log(1 / common)
+def weight(count: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
+    """(1 + ln count) * idf."""
+    out = idf_of(df, n)
+    many = count > 1
+    out[many] *= 1 + np.log(count[many])
+    return out
 
 
-# --------------------------------------------------------------------------- shingle statistics
+# --------------------------------------------------------------------------- layout
 
 
-def _local_common(p: NearDup):
-    """Per block of a partition: how many documents, and those shingles that at least half of COMMON of them hold."""
+def _identity(w: Words) -> np.ndarray:
+    """128 bits of each document's word sequence, as two integers."""
+    out = np.zeros((w.n_docs, 2), np.uint64)
+    n = np.diff(w.bounds)
+    if not len(w.hash):
+        return out.view(np.int64)
+    at = (np.arange(len(w.hash)) - np.repeat(w.bounds[:-1], n)).astype(np.uint64)
+    some = n > 0
+    for j, k in enumerate((0xA0761D6478BD642F, 0xE7037ED1A0B428DB)):
+        out[some, j] = mix(np.add.reduceat(mix(w.hash * np.uint64(k) + mix(at + np.uint64(j + 1))), w.bounds[:-1][some]) + n[some].astype(np.uint64))
+    return out.view(np.int64)
+
+
+_LAID = "doc_id long, th long, k1 long, k2 long, block long, copies long, size long, text string"
+_LAID_NAMES = [x.split()[0] for x in _LAID.split(", ")]
+
+
+def _lay(p: NearDup):
+    """Rows (doc_id, th, text) in blocks; a block holds each word sequence's text once, with its ``copies``."""
 
-    def flush(values: list[np.ndarray], n: int) -> pa.RecordBatch:
-        found, counts = np.unique(np.concatenate(values) if values else np.zeros(0, np.uint64), return_counts=True)
-        keep = counts >= p.common / 2 * n
-        shingle = pa.array([None, *found[keep].astype(np.int64)], pa.int64())
-        return pa.record_batch([shingle, pa.array([0, *counts[keep]], pa.int64()), pa.array([n] * len(shingle), pa.int64())], ["shingle", "df", "n"])
+    def flush(held: list[tuple], block: int) -> pa.RecordBatch:
+        ids, th, text = (pa.concat_arrays([h[i] for h in held]) for i in range(3))
+        keys, n = np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held])
+        null = text.is_null().to_numpy(zero_copy_only=False)
+        copies = np.zeros(len(n), np.int64)
+        some = np.flatnonzero(n > 0)
+        if len(some):
+            _, first, times = np.unique(keys[some].view([("a", np.int64), ("b", np.int64)]).ravel(), return_index=True, return_counts=True)
+            copies[some[first]] = times
+        text = pc.if_else(pa.array(copies > 0), text, pa.scalar(None, pa.string()))
+        size = np.where(copies > 0, n, 0)
+        columns = [ids, th, pa.array(keys[:, 0], mask=null), pa.array(keys[:, 1], mask=null), pa.array(np.full(len(n), block)), pa.array(copies), pa.array(size), text]
+        return pa.record_batch(columns, _LAID_NAMES)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, n, size = [], 0, 0
+        block = TaskContext.get().partitionId() << 32
+        held, size, rows = [], 0, 0
         for batch in batches:
-            for w in words_of(batch.column(0)):
-                _, shingle, _ = shingle_counts(w, p.words)
-                values.append(shingle)
-                n, size = n + w.n_docs, size + len(shingle)
-                if size >= _FLUSH:
-                    yield flush(values, n)
-                    values, n, size = [], 0, 0
-        if n:
-            yield flush(values, n)
+            column = batch.column(2).cast(pa.string())
+            for w in words_of(column):
+                keys, n = _identity(w), np.diff(w.bounds)
+                for d in np.flatnonzero(n == 0):  # a text without words is known by itself
+                    value = column[w.first + int(d)]
+                    if value.is_valid:
+                        keys[d] = np.frombuffer(hashlib.md5(value.as_py().encode()).digest(), np.int64)
+                held.append((batch.column(0).slice(w.first, w.n_docs), batch.column(1).slice(w.first, w.n_docs), column.slice(w.first, w.n_docs), keys, n))
+                size, rows = size + len(w.hash), rows + w.n_docs
+                if size >= p.unit or rows >= 1 << 16:
+                    yield flush(held, block)
+                    held, size, rows, block = [], 0, 0, block + 1
+        if held:
+            yield flush(held, block)
 
     return run
 
 
-def _count_of(wanted: np.ndarray, p: NearDup):
-    """Exact document counts of the shingles ``wanted`` (sorted)."""
+def _runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
+    """The stretches of rows that agree on ``key``, each as a table without gaps between its chunks."""
+    current, held = None, []
+    for batch in batches:
+        g = batch.column(batch.schema.get_field_index(key)).to_numpy()
+        cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a == b:
+                continue
+            if held and g[a] != current:
+                yield current, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            current = int(g[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield current, pa.Table.from_batches(held).combine_chunks()
+
+
+def _one(table: pa.Table, name: str) -> pa.Array:
+    column = table.column(name)
+    return column.chunk(0) if column.num_chunks == 1 else column.combine_chunks()
+
+
+# --------------------------------------------------------------------------- document frequencies
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """The bytes of integers, by significance: what compresses lies together."""
+    return values.view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes()
+
+
+def _unplanes(data: bytes, kind: type) -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(wide, -1).T).view(kind).ravel()
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Sorted integers by their differences."""
+    return _planes(np.diff(values, prepend=np.uint64(0)))
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(_unplanes(data, np.uint64), dtype=np.uint64)
+
+
+def _send(p: NearDup, parts: int):
+    """Of each block: its different shingles and how many of its rows hold them, by ranges of hashes."""
+    cuts = np.array([(k << SHINGLE_BITS) // parts for k in range(1, parts)], np.uint64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(wanted), np.int64)
-        for batch in batches:
-            for w in words_of(batch.column(0)):
-                _, shingle, _ = shingle_counts(w, p.words)
-                at = np.searchsorted(wanted, shingle)
-                at[at == len(wanted)] = 0
-                np.add.at(total, at[wanted[at] == shingle], 1)
-        some = total > 0
-        yield pa.record_batch([pa.array(wanted[some].astype(np.int64)), pa.array(total[some])], ["shingle", "df"])
+        for block, table in _runs(batches, "block"):
+            copies = _one(table, "copies").to_numpy()
+            values, times = [], []
+            for w in words_of(_one(table, "text")):
+                doc, shingle, _ = shingle_counts(w, p.words)
+                values.append(shingle)
+                times.append(copies[doc + w.first])
+            if not values:
+                continue
+            value, n = np.concatenate(values), np.concatenate(times)
+            if not len(value):
+                continue
+            order = np.argsort(value)
+            value = value[order]
+            first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+            n = np.add.reduceat(n[order], first)
+            value = value[first]
+            bounds = [0, *np.searchsorted(value, cuts).tolist(), len(value)]
+            rows = [(k, block, _pack(value[a:b]), _planes(n[a:b].astype(np.uint32))) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["part", "block", "shingles", "n"])
 
     return run
 
 
-def common_shingles(docs: DataFrame, p: NearDup, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in more than ``common`` of the documents, and their exact share.
-
-    A shingle of share c or more in the corpus is emitted in pass 1 by blocks
-    that hold it in c/2 of their documents or more; the other blocks hold it in
-    less.  What pass 1 counts plus that bound shows which shingles can reach c:
-    at most 2 * (shingles per document) / c of them.  Pass 2 counts those.
-    """
-    texts = docs.select(F.col(text).alias("text"))
-    local = written(texts.mapInArrow(_local_common(p), "shingle long, df long, n long"), "df-local")
-    n = local.where("shingle is null").agg(F.sum("n")).first()[0] or 0
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0)
-    half = p.common / 2
-    likely = local.where("shingle is not null").groupBy("shingle").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
-    likely = likely.where(F.col("df") + half * (F.lit(n) - F.col("n")) >= p.common * n)
-    wanted = np.sort(np.array([r[0] for r in likely.select("shingle").collect()], dtype=np.uint64))
-    if not len(wanted):
-        return wanted, np.zeros(0)
-    exact = texts.mapInArrow(_count_of(wanted, p), "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df"))
-    rows = sorted((int(r.shingle), r.df / n) for r in exact.where(F.col("df") > p.common * n).collect())
-    return np.array([r[0] for r in rows], dtype=np.uint64), np.array([r[1] for r in rows])
-
-
-# --------------------------------------------------------------------------- weights and samples
-
-
-def weight(shingle: np.ndarray, count: np.ndarray, common: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """(1 + ln count) * idf."""
-    out = np.full(len(shingle), 2.0)
-    if len(common) and len(shingle):
-        at = np.searchsorted(common, shingle)
-        at[at == len(common)] = 0
-        hit = common[at] == shingle
-        out[hit] = idf[at[hit]]
-    many = count > 1
-    out[many] *= 1 + np.log(count[many])
-    return out
+def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over partitions sorted by part: to each block the shingles of its own that two rows or more hold, and how many do."""
+    for _, table in _runs(batches, "part"):
+        sent = [_unpack(x) for x in _one(table, "shingles").to_pylist()]
+        value = np.concatenate(sent)
+        n = np.concatenate([_unplanes(x, np.uint32) for x in _one(table, "n").to_pylist()]).astype(np.int64)
+        order = np.argsort(value, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], np.diff(value[order]) != 0)))
+        df = np.empty(len(value), np.int64)
+        df[order] = np.repeat(np.add.reduceat(n[order], first), np.diff(np.append(first, len(value))))
+        end = np.cumsum([len(x) for x in sent])
+        rows = []
+        for block, own, z in zip(_one(table, "block").to_pylist(), sent, end.tolist()):
+            found = df[z - len(own) : z]
+            some = found > 1
+            if some.any():
+                rows.append((block, _pack(own[some]), _planes(found[some])))
+        if rows:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["block", "shingles", "df"])
+
+
+def document_frequencies(laid: DataFrame, p: NearDup) -> Lookup:
+    """By block: its shingles that two documents or more hold, and how many do."""
+    spark = laid.sparkSession
+    ways = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = laid.agg(F.sum("size")).first()[0] or 0
+    parts = max(ways, -(-int(total) // p.unit))
+    sent = laid.where("copies > 0").select("block", "copies", "text").mapInArrow(_send(p, parts), "part int, block long, shingles binary, n binary")
+    counted = sent.repartition(ways, "part").sortWithinPartitions("part").mapInArrow(_count, "block long, shingles binary, df binary")
+    return deal(counted, "block", "frequencies")
+
+
+class _Frequencies:
+    """The document frequency of a block's shingles."""
+
+    def __init__(self, lookup: Lookup) -> None:
+        self.lookup, self.block = lookup, None
+
+    def of(self, block: int, shingle: np.ndarray) -> np.ndarray:
+        if block != self.block:
+            rows = self.lookup.rows(block)
+            known = np.concatenate([np.zeros(0, np.uint64), *(_unpack(x) for x in rows.column("shingles").to_pylist())])
+            df = np.concatenate([np.zeros(0, np.int64), *(_unplanes(x, np.int64) for x in rows.column("df").to_pylist())])
+            self.known, first = np.unique(known, return_index=True)  # a block that was read in parts has equal answers
+            self.df, self.block = df[first], block
+        out = np.ones(len(shingle), np.int64)
+        if len(self.known) and len(shingle):
+            at = np.searchsorted(self.known, shingle)
+            at[at == len(self.known)] = 0
+            hit = self.known[at] == shingle
+            out[hit] = self.df[at[hit]]
+        return out
+
+
+# --------------------------------------------------------------------------- samples
+
+
+def _gamma_quantiles(size: int) -> np.ndarray:
+    """The inverse of the distribution function 1 - (1 + x) exp(-x) of Gamma(2, 1), at the middles of ``size`` steps."""
+    u = (np.arange(size) + 0.5) / size
+    low, high = np.zeros(size), np.full(size, 64.0)
+    for _ in range(60):
+        x = (low + high) / 2
+        below = 1 - (1 + x) * np.exp(-x) < u
+        low, high = np.where(below, x, low), np.where(below, high, x)
+    return (low + high) / 2
 
 
 class Sampler:
     """Improved consistent weighted sampling.
 
-    The draws r and c ~ Gamma(2, 1) and beta ~ U(0, 1) of a shingle in a sample
-    are looked up in a table of 65,536 rows by a hash of both.  Most shingles
-    have the weight 2; for them ln a is tabulated as well.
+    A 64-bit hash of shingle and sample gives the draws: 16 bits each for r and c
+    ~ Gamma(2, 1), by its inverse distribution function, and 32 for beta ~ U(0, 1).
     """
 
     def __init__(self, p: NearDup) -> None:
         rng = np.random.default_rng(p.seed)
         self.n = p.bands * p.rows
         self.p = p
-        size = 1 << _TABLE_BITS
-        self.r = rng.gamma(2, 1, size)
-        self.lnc = np.log(rng.gamma(2, 1, size))
-        self.beta = rng.random(size)
+        gamma = _gamma_quantiles(1 << 16)
+        self.r = gamma.astype(np.float32)
+        self.lnc = np.log(gamma).astype(np.float32)
         self.factor = rng.integers(0, 2**63, self.n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.default = self.keys(*self.draw(np.arange(size), np.full(size, math.log(2.0))))
 
-    def draw(self, at: np.ndarray, ln_s: np.ndarray) -> tuple[np.ndarray, ...]:
-        r, beta = self.r[at], self.beta[at]
-        t = np.floor(ln_s / r + beta)
-        return self.lnc[at] - r * (t - beta) - r, t
-
-    @staticmethod
-    def keys(ln_a: np.ndarray, _t: np.ndarray) -> np.ndarray:
-        """Integers in the order of ln a, with 32 low bits free."""
-        i = ln_a.astype(np.float32).view(np.int32)
-        return (i ^ ((i >> 31) & np.int32(0x7FFFFFFF))).astype(np.int64) << 32
+    def draw(self, shingle: np.ndarray, d: int, ln_s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ln a and t of every shingle in sample d."""
+        h = shingle * self.factor[d]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        short = h.view(np.uint16).reshape(-1, 4)
+        r = self.r[short[:, 3]]
+        beta = h.view(np.uint32)[::2].astype(np.float32)
+        beta *= np.float32(2.0**-32)
+        t = ln_s / r
+        t += beta
+        np.floor(t, out=t)
+        beta -= t
+        beta -= np.float32(1)
+        beta *= r
+        beta += self.lnc[short[:, 2]]  # ln c - r (t - beta + 1)
+        return beta, t
 
     def bands(self, doc: np.ndarray, shingle: np.ndarray, s: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
         """The documents that have shingles, and their hash for each band."""
@@ -181,174 +311,160 @@ class Sampler:
             return np.zeros(0, np.int64), np.zeros((0, self.p.bands), np.int64)
         first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
         place = np.arange(len(doc), dtype=np.int64)
-        ln_s = np.log(s)
-        other = np.flatnonzero(s != 2.0)
+        ln_s = np.log(s).astype(np.float32)
         out = np.zeros((len(first), self.p.bands), np.uint64)
         for d in range(self.n):
-            at = (shingle * self.factor[d]) >> np.uint64(64 - _TABLE_BITS)
-            key = self.default[at]
-            if len(other):
-                key[other] = self.keys(*self.draw(at[other], ln_s[other]))
+            ln_a, t = self.draw(shingle, d, ln_s)
+            i = ln_a.view(np.int32)
+            i ^= (i >> 31) & np.int32(0x7FFFFFFF)  # integers in the order of ln a
+            key = i.astype(np.int64)
+            key <<= 32
             key |= place
             best = np.minimum.reduceat(key, first) & 0xFFFFFFFF
-            _, t = self.draw(at[best], ln_s[best])
-            got = mix(shingle[best] + t.astype(np.int64).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(d << 56))
+            got = mix(shingle[best] + t[best].astype(np.int64).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(d << 56))
             b = d // self.p.rows
             out[:, b] = mix(out[:, b] + got)
         return doc[first], out.view(np.int64)
 
 
-def _identity(w: Words) -> np.ndarray:
-    """128 bits of each document's word sequence, as two integers."""
-    out = np.zeros((w.n_docs, 2), np.uint64)
-    n = np.diff(w.bounds)
-    if not len(w.hash):
-        return out.view(np.int64)
-    at = (np.arange(len(w.hash)) - np.repeat(w.bounds[:-1], n)).astype(np.uint64)
-    some = n > 0
-    for j, k in enumerate((0xA0761D6478BD642F, 0xE7037ED1A0B428DB)):
-        out[some, j] = mix(np.add.reduceat(mix(w.hash * np.uint64(k) + mix(at + np.uint64(j + 1))), w.bounds[:-1][some]) + n[some].astype(np.uint64))
-    return out.view(np.int64)
+def _sign(frequencies: Lookup, n: int, p: NearDup):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler, known = Sampler(p), _Frequencies(frequencies)
+        for block, table in _runs(batches, "block"):
+            for w in words_of(_one(table, "text")):
+                doc, shingle, count = shingle_counts(w, p.words)
+                have, bands = sampler.bands(doc, shingle, weight(count, known.of(block, shingle), n), w.n_docs)
+                size = np.bincount(doc, minlength=w.n_docs)[have]
+                at = np.repeat(have, p.bands) + w.first
+                k1, k2 = (_one(table, k).to_numpy()[at] for k in ("k1", "k2"))
+                columns = [k1, k2, np.repeat(size, p.bands), np.tile(np.arange(p.bands, dtype=np.int32), len(have)), bands.ravel()]
+                yield pa.record_batch([pa.array(c) for c in columns], ["k1", "k2", "size", "band", "value"])
 
+    return run
 
-_SIGNED = "doc_id long, th long, k1 long, k2 long, bands array<long>"
 
+# --------------------------------------------------------------------------- verification
+
+_SETS = "k1 long, k2 long, total double, shingles binary, counts binary, df binary"
+
+
+def _sets(frequencies: Lookup, wanted: Lookup, n: int, p: NearDup):
+    """The wanted documents' total weight and those shingles that other rows hold too."""
 
-def _sign(common: np.ndarray, idf: np.ndarray, p: NearDup):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(p)
-        for batch in batches:
-            ids, th, column = batch.column(0), batch.column(1), batch.column(2)
-            for w in words_of(column):
+        known = _Frequencies(frequencies)
+        for block, table in _runs(batches, "block"):
+            rows = wanted.rows(block)
+            if not rows.num_rows:
+                continue
+            want = set(zip(rows.column("k1").to_pylist(), rows.column("k2").to_pylist()))
+            keys = list(zip(_one(table, "k1").to_pylist(), _one(table, "k2").to_pylist()))
+            keep = [i for i, k in enumerate(keys) if k in want]
+            for w in words_of(_one(table, "text").take(pa.array(keep, pa.int64()))):
                 doc, shingle, count = shingle_counts(w, p.words)
-                have, bands = sampler.bands(doc, shingle, weight(shingle, count, common, idf), w.n_docs)
-                keys = _identity(w)
-                null = np.zeros(w.n_docs, bool)
-                for d in np.flatnonzero(np.diff(w.bounds) == 0):
-                    value = column[w.first + int(d)]
-                    null[d] = not value.is_valid
-                    if value.is_valid:
-                        keys[d] = np.frombuffer(hashlib.md5(value.as_py().encode()).digest(), np.int64)
-                size = np.zeros(w.n_docs + 1, np.int32)
-                size[have + 1] = p.bands
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(size).astype(np.int32)), pa.array(bands.ravel()))
-                yield pa.record_batch(
-                    [ids.slice(w.first, w.n_docs), th.slice(w.first, w.n_docs), pa.array(keys[:, 0], mask=null), pa.array(keys[:, 1], mask=null), lists],
-                    ["doc_id", "th", "k1", "k2", "bands"],
-                )
+                df = known.of(block, shingle)
+                total = np.bincount(doc, weight(count, df, n), w.n_docs)
+                shared = df > 1
+                doc, shingle, count, df = doc[shared], shingle[shared], count[shared].astype(np.uint32), df[shared]
+                cuts = np.searchsorted(doc, np.arange(w.n_docs + 1)).tolist()
+                out = [(*keys[keep[w.first + d]], total[d], shingle[a:b].tobytes(), count[a:b].tobytes(), df[a:b].tobytes()) for d, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
+                types = (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], [x.split()[0] for x in _SETS.split(", ")])
 
     return run
 
 
-# --------------------------------------------------------------------------- verification
+def _read(table: pa.Table) -> list[tuple]:
+    """(shingles, counts, df) of every row."""
+    columns = zip(*(_one(table, k).to_pylist() for k in ("shingles", "counts", "df")))
+    return [(np.frombuffer(s, np.uint64), np.frombuffer(c, np.uint32), np.frombuffer(d, np.int64)) for s, c, d in columns]
 
 
-def similar_links(column: pa.Array, common: np.ndarray, idf: np.ndarray, p: NearDup) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of texts of weighted Jaccard similarity ``threshold`` or more.
+def common_weight(a: tuple, b: tuple, n: int) -> float:
+    """Weight of what two documents share: the smaller of each shingle's weights."""
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    if not len(a[0]):
+        return 0.0
+    at = np.searchsorted(b[0], a[0])
+    at[at == len(b[0])] = 0
+    hit = np.flatnonzero(b[0][at] == a[0])
+    return float(weight(np.minimum(a[1][hit], b[1][at[hit]]), a[2][hit], n).sum())
 
-    A shingle that occurs n times is n elements of weights ``g(1) - g(0)``,
-    ``g(2) - g(1)`` ... times its idf, with g(n) = 1 + ln n and g(0) = 0, so that
-    the sum of minima is a matrix product.
-    """
-    docs, shingles, levels, weights = [], [], [], []
-    for w in words_of(column):
-        doc, shingle, count = shingle_counts(w, p.words)
-        level = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + 1
-        doc, shingle = np.repeat(doc, count) + w.first, np.repeat(shingle, count)
-        base = weight(shingle, np.ones(len(shingle), np.int64), common, idf)
-        step = np.ones(len(level))
-        more = level > 1
-        step[more] = np.log(level[more]) - np.log(level[more] - 1)
-        docs.append(doc)
-        shingles.append(shingle)
-        levels.append(level)
-        weights.append(base * step)
-    n = len(column)
-    if not docs:
-        return []
-    doc, weights = np.concatenate(docs), np.concatenate(weights)
-    element = mix(np.concatenate(shingles) * np.uint64(0x9E3779B97F4A7C15) + np.concatenate(levels).astype(np.uint64))
-    total = np.bincount(doc, weights, n)
-    order = np.argsort(element, kind="stable")
-    element, doc, weights = element[order], doc[order], weights[order]
-    first = np.concatenate(([True], element[1:] != element[:-1])) if len(element) else np.zeros(0, bool)
-    run = np.cumsum(first) - 1
-    shared = np.bincount(run)[run] > 1 if len(run) else first
-    doc, weights, run = doc[shared], weights[shared], run[shared]
-    common_weight = np.zeros((n, n))
-    if len(run):
-        run = np.cumsum(np.concatenate(([True], run[1:] != run[:-1]))) - 1
-        wide = 4096
-        cuts = np.searchsorted(run, np.arange(0, run[-1] + 1 + wide, wide))
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            m = np.zeros((n, min(wide, int(run[b - 1]) - int(run[a]) + 1)))
-            m[doc[a:b], run[a:b] - run[a]] = np.sqrt(weights[a:b])
-            common_weight += m @ m.T
-    union = total[:, None] + total[None, :] - common_weight
-    near = (common_weight >= (p.threshold - 1e-9) * union) & (union > 0)
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    links = []
-    for x, y in zip(*np.nonzero(np.triu(near, 1))):
-        a, b = root(int(x)), root(int(y))
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            links.append((int(x), int(y)))
-    return links
-
-
-def _verify(common: np.ndarray, idf: np.ndarray, p: NearDup):
-    """Over partitions sorted by group."""
-
-    def links(group: list[pa.RecordBatch]) -> list[tuple[int, ...]]:
-        t = pa.Table.from_batches(group)
-        if t.num_rows < 2:
-            return []
-        keys = list(zip(t.column("k1").to_pylist(), t.column("k2").to_pylist()))
-        return [(*keys[x], *keys[y]) for x, y in similar_links(t.column("text").combine_chunks(), common, idf, p)]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
-        seen: set[tuple[int, int]] = set()
-        current = None
-        found: list[tuple[int, ...]] = []
+def _similar(common, total, n_total, p: NearDup):
+    union = total + n_total - common
+    return (common >= (p.threshold - 1e-9) * union) & (union > 0)
+
 
-        def flush() -> pa.RecordBatch:
-            columns = list(zip(*found)) or [[]] * 4
-            return pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["a1", "a2", "b1", "b2"])
+def _star(n: int, p: NearDup):
+    """Over partitions sorted by group, pivots first: links of the members to the first pivot that they resemble."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, pivots, found = None, [], []
         for batch in batches:
-            g = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if a == b:
-                    continue
-                if current is not None and g[a] != current:
-                    found += links(waiting)
-                    waiting = []
-                    seen.clear()
-                current = g[a]
-                part = batch.slice(a, b - a)
-                # rows that repeat doc_id and text bring one text more than once: only the first is held
-                new = []
-                for i, k in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
-                    if k not in seen:
-                        seen.add(k)
-                        new.append(i)
-                if new:
-                    waiting.append(part if len(new) == part.num_rows else part.take(pa.array(new)))
+            table = pa.Table.from_batches([batch])
+            columns = [_one(table, k).to_pylist() for k in ("g", "pivot", "k1", "k2", "total")]
+            for g, pivot, k1, k2, total, own in zip(*columns, _read(table)):
+                if g != current:
+                    current, pivots = g, []
+                for a1, a2, other, theirs in pivots:
+                    if (a1, a2) != (k1, k2) and _similar(common_weight(own, theirs, n), total, other, p):
+                        found.append((a1, a2, k1, k2))
+                        break
+                if pivot:  # its arrays outlive the batch
+                    pivots.append((k1, k2, total, tuple(x.copy() for x in own)))
             if len(found) > 50_000:
-                yield flush()
-                found.clear()
-        if waiting:
-            found += links(waiting)
-        yield flush()
+                yield _links(found)
+                found = []
+        yield _links(found)
+
+    return run
+
+
+def _links(found: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*found)) or [[]] * 4
+    return pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["a1", "a2", "b1", "b2"])
+
+
+def _across(n: int, p: NearDup):
+    """Over partitions sorted by group: links between members of different classes, as links of the classes.
+
+    A group is two blocks of members.  A shingle that occurs c times is c
+    elements of weights ``g(1) - g(0)``, ``g(2) - g(1)`` ... times its idf, with
+    g(c) = 1 + ln c and g(0) = 0, so that the sum of minima is a matrix product.
+    """
+
+    def similar(total: np.ndarray, sets: list[tuple]) -> np.ndarray:
+        many = len(sets)
+        doc = np.repeat(np.arange(many), [len(s[0]) for s in sets])
+        shingle, count, df = (np.concatenate([s[i] for s in sets]) for i in range(3))
+        count = count.astype(np.int64)
+        level = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + 1
+        element = mix(np.repeat(shingle, count) * np.uint64(0x9E3779B97F4A7C15) + level.astype(np.uint64))
+        step = np.repeat(idf_of(df, n), count)
+        more = level > 1
+        step[more] *= np.log(level[more]) - np.log(level[more] - 1)
+        doc = np.repeat(doc, count)
+        order = np.argsort(element, kind="stable")
+        element, doc, step = element[order], doc[order], np.sqrt(step[order])
+        common = np.zeros((many, many))
+        run = np.cumsum(np.concatenate(([False], element[1:] != element[:-1]))) if len(element) else element
+        for a in range(0, int(run[-1]) + 1 if len(run) else 0, 4096):
+            lo, hi = np.searchsorted(run, [a, a + 4096])
+            m = np.zeros((many, 4096))
+            m[doc[lo:hi], (run[lo:hi] - a).astype(np.int64)] = step[lo:hi]
+            common += m @ m.T
+        return _similar(common, total[:, None], total[None, :], p)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in _runs(batches, "g"):
+            classes = list(zip(_one(table, "c1").to_pylist(), _one(table, "c2").to_pylist()))
+            if len(set(classes)) < 2:
+                continue
+            near = similar(_one(table, "total").to_numpy(), _read(table))
+            found = {tuple(sorted((classes[x], classes[y]))) for x, y in zip(*np.nonzero(np.triu(near, 1))) if classes[x] != classes[y]}
+            yield _links([(*a, *b) for a, b in sorted(found)])
 
     return run
 
@@ -356,42 +472,80 @@ def _verify(common: np.ndarray, idf: np.ndarray, p: NearDup):
 # --------------------------------------------------------------------------- the operator
 
 
+def _pair(a: str, b: str, name: str):
+    return F.struct(F.col(a).alias("k1"), F.col(b).alias("k2")).alias(name)
+
+
+def _components(links: DataFrame) -> DataFrame:
+    """k1, k2 and their root."""
+    roots = connected_components(links.select(_pair("a1", "a2", "a"), _pair("b1", "b2", "b")))
+    return roots.select("node.k1", "node.k2", "root")
+
+
 def _classes(docs: DataFrame, doc_id: str, text: str, p: NearDup) -> tuple[DataFrame, DataFrame]:
     """Every row's doc_id, th (hash of its text), k1 and k2 (its words), and of words that are not alone their root and class_id."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    common, share = common_shingles(rows, p)
-    idf = idf_of(share, p.common)
-    signed = written(rows.mapInArrow(_sign(common, idf, p), _SIGNED), "signed")
-    copies = signed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("rep"), F.count("*").alias("n"))
-    copies = written(copies, "copies")
-
-    banded = signed.where("size(bands) > 0").select("k1", "k2", F.posexplode("bands").alias("band", "value")).distinct()
+    spark = docs.sparkSession
+    ways = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).cast("string").alias("text"))
+    laid = written(rows.mapInArrow(_lay(p), _LAID), "laid", "zstd")
+    n = laid.count()
+    signed = written(laid.select("doc_id", "th", "k1", "k2"), "keys")
+    copies = signed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+
+    texts = laid.where("copies > 0").select("block", "k1", "k2", "text")
+    frequencies = document_frequencies(laid, p)
+    banded = texts.mapInArrow(_sign(frequencies, n, p), "k1 long, k2 long, size long, band int, value long").distinct()
     banded = written(banded, "banded")
     member = F.xxhash64("k1", "k2")
-    buckets = banded.groupBy("band", "value").agg(F.count("*").alias("n"), F.sum((member % 1_000_000_007)).alias("s1"), F.bit_xor(member).alias("s2")).where("n > 1")
+    bucket = banded.groupBy("band", "value").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum((member % 1_000_000_007)).alias("s1"), F.bit_xor(member).alias("s2")).where("n > 1")
     # buckets of the same members are one
-    buckets = buckets.groupBy("n", "s1", "s2").agg(F.min("band").alias("band"), F.min(F.struct("band", "value")).alias("one"))
-    buckets = buckets.select("n", F.col("one.band").alias("band"), F.col("one.value").alias("value"))
-    blocks = F.ceil(F.col("n") / p.block).cast("int")
-    members = banded.join(buckets, ["band", "value"]).select("band", "value", "k1", "k2", blocks.alias("nb"))
-    own = F.pmod(F.xxhash64("k2", "k1"), F.col("nb")).cast("int")
-    members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    group = F.xxhash64("band", "value", F.least("own", "other"), F.greatest("own", "other"))
-    members = written(members.select(group.alias("g"), "k1", "k2"), "members")
-
-    needed = members.select("k1", "k2").distinct().join(copies, ["k1", "k2"]).select("k1", "k2", "rep.doc_id", "rep.th")
-    same = F.coalesce(rows.doc_id, F.lit(-1)) == F.coalesce(needed.doc_id, F.lit(-1))
-    texts = rows.join(needed, same & (rows.th == needed.th)).select("k1", "k2", "text")
-    grouped = members.join(texts, ["k1", "k2"]).select("g", "k1", "k2", "text")
-    grouped = grouped.repartition(_parts(docs), "g").sortWithinPartitions("g")
-    edges = written(grouped.mapInArrow(_verify(common, idf, p), "a1 long, a2 long, b1 long, b2 long"), "links")
-    roots = connected_components(edges.select(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2")).alias("a"), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2")).alias("b")))
-    roots = roots.select("node.k1", "node.k2", "root")
-
+    bucket = bucket.groupBy("n", "size", "s1", "s2").agg(F.min(F.struct("band", "value")).alias("one"))
+    members = banded.join(bucket.select("n", F.col("size").alias("sizes"), "one.band", "one.value"), ["band", "value"])
+    members = written(members.select(F.xxhash64("band", "value").alias("bucket"), "n", "sizes", "k1", "k2"), "members")
+
+    # the shared shingles of all members, once
+    places = members.select("k1", "k2").distinct().join(laid.where("copies > 0").groupBy("k1", "k2").agg(F.min("block").alias("block")), ["k1", "k2"])
+    wanted = deal(places.select("block", "k1", "k2"), "block", "wanted")
+    sets = written(texts.mapInArrow(_sets(frequencies, wanted, n, p), _SETS), "sets")
+
+    # every member against the bucket's pivots
+    cells = F.greatest(F.ceil(F.col("n") / p.block), F.ceil(F.col("sizes") / p.unit)).cast("int")
+    share = F.pmod(F.xxhash64("k2", "k1"), F.lit(p.pivots))
+    least_of = F.array(*[F.min(F.when(share == j, F.struct("k1", "k2"))) for j in range(p.pivots)])
+    pivots = members.groupBy("bucket").agg(F.filter(least_of, lambda k: k.isNotNull()).alias("pivots"), F.max(cells).alias("cells"))
+    every = members.select("bucket", F.lit(False).alias("pivot"), F.pmod(F.xxhash64("k2", "k1"), cells).cast("int").alias("cell"), "k1", "k2")
+    first = pivots.select("bucket", F.explode("pivots").alias("k"), "cells").select("bucket", F.lit(True).alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "k.k1", "k.k2")
+    grouped = every.unionByName(first).join(sets, ["k1", "k2"]).withColumn("g", F.xxhash64("bucket", "cell"))
+    grouped = grouped.select("g", "pivot", "k1", "k2", "total", "shingles", "counts", "df").repartition(ways, "g").sortWithinPartitions("g", F.desc("pivot"), "k1", "k2")
+    links = written(grouped.mapInArrow(_star(n, p), "a1 long, a2 long, b1 long, b2 long"), "links")
+    within = written(_components(links), "roots")
+
+    # buckets of several classes: what is outside the largest class against all members
+    classed = members.join(within, ["k1", "k2"], "left").select("bucket", "k1", "k2", F.coalesce("root", F.struct("k1", "k2")).alias("class"))
+    sizes = classed.groupBy("bucket", "class").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("all")).where("all > top.n")
+    half = max(1, p.block // 2)
+    split = split.select("bucket", F.col("top.class").alias("largest"), F.ceil(F.col("all") / half).cast("int").alias("columns"), F.ceil((F.col("all") - F.col("top.n")) / half).cast("int").alias("lines"))
+    split = classed.join(split, "bucket")
+    place = F.xxhash64("k2", "k1")
+    column = split.select("bucket", "k1", "k2", "class", F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("line"), F.pmod(place, "columns").cast("int").alias("column"))
+    line = split.where(F.col("class") != F.col("largest")).select("bucket", "k1", "k2", "class", F.pmod(place, "lines").cast("int").alias("line"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"))
+    # a member that stands in the line and in the column of a group is there once
+    both = column.unionByName(line).select(F.xxhash64("bucket", "line", "column").alias("g"), "k1", "k2", "class").distinct()
+    grouped = both.join(sets, ["k1", "k2"]).select("g", F.col("class.k1").alias("c1"), F.col("class.k2").alias("c2"), "total", "shingles", "counts", "df")
+    grouped = grouped.repartition(ways, "g").sortWithinPartitions("g")
+    more = written(grouped.mapInArrow(_across(n, p), "a1 long, a2 long, b1 long, b2 long"), "more-links")
+    merged = _components(more)
+
+    roots = within.join(merged.select(F.struct("k1", "k2").alias("root"), F.col("root").alias("whole")), "root", "left").select("k1", "k2", F.coalesce("whole", "root").alias("root"))
+    alone = merged.join(roots, ["k1", "k2"], "left_anti").select("k1", "k2", "root")
+    roots = written(roots.unionByName(alone), "roots")
     classes = copies.join(roots, ["k1", "k2"], "left").select("k1", "k2", F.col("least").alias("doc_id"), F.coalesce("root", F.struct("k1", "k2")).alias("root"), "n", F.col("root").isNotNull().alias("linked"))
     least = classes.where("linked").groupBy("root").agg(F.min("doc_id").alias("class_id"))
     classes = classes.where("linked or n > 1").join(least, "root", "left").select("k1", "k2", "root", F.coalesce("class_id", "doc_id").alias("class_id"))
-    return signed, written(classes, "classes")
+    classes = written(classes, "classes")
+    discard(spark, laid, frequencies.path, wanted.path, banded, members, sets, links, within, more, roots)
+    return signed, classes
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p: NearDup = NearDup()) -> DataFrame:
@@ -408,10 +562,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
-def _parts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p: NearDup = NearDup()) -> DataFrame:
     """Exactly one row of each class: that of the least doc_id (null last), of these that of the least hash of its text.
 

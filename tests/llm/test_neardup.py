@@ -20,21 +20,22 @@ def bag(text, k=5):
     return Counter(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else Counter()
 
 
-def brute(rows, p=neardup.NearDup()):
-    """Weighted Jaccard similarity of all pairs, by dictionaries."""
+def brute(rows):
+    """Weighted Jaccard similarity of all pairs that share a shingle, by dictionaries: (1 + ln count) (1 + ln((1 + N) / (1 + df)))."""
     n = len(rows)
     bags = [bag(t) for _, t in rows]
-    df = Counter(s for b in bags for s in b)
-    weigh = lambda b: {s: (1 + math.log(c)) * (1 + math.log(1 / max(df[s] / n, p.common)) / math.log(1 / p.common)) for s, c in b.items()}
-    weights = [weigh(b) for b in bags]
-    out = {}
-    for i in range(n):
-        for j in range(i):
-            shared = weights[i].keys() & weights[j].keys()
-            if shared:
-                low = sum(min(weights[i][s], weights[j][s]) for s in shared)
-                out[j, i] = low / (sum(weights[i].values()) + sum(weights[j].values()) - low)
-    return out
+    holders = {}
+    for i, b in enumerate(bags):
+        for s in b:
+            holders.setdefault(s, []).append(i)
+    weights = [{s: (1 + math.log(c)) * (1 + math.log((1 + n) / (1 + len(holders[s])))) for s, c in b.items()} for b in bags]
+    total = [sum(w.values()) for w in weights]
+    shared = Counter()
+    for s, docs in holders.items():
+        for x, j in enumerate(docs):
+            for i in docs[:x]:
+                shared[i, j] += min(weights[i][s], weights[j][s])
+    return {(i, j): low / (total[i] + total[j] - low) for (i, j), low in shared.items()}
 
 
 def closure(n, links):
@@ -118,24 +119,84 @@ def test_one_row_of_each_class(spark):
     assert neardup.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_common_shingles(spark):
-    rows = [(i, f"all of us say this here and {i} {i} {i}" + (" half of us say that too" if i % 2 else "")) for i in range(300)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    shingle, share = neardup.common_shingles(docs, neardup.NearDup())
-    want = Counter(s for _, t in rows for s in bag(t))
-    want = sorted(n / 300 for n in want.values() if n > 15)
-    assert np.allclose(sorted(share), want)
+def test_recall_on_a_table(spark):
+    """Of all pairs of similarity 0.8 or more, 99 % share a class; no class holds what no chain of such pairs joins."""
+    sf = SMALL.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
+    near = [ij for ij, s in brute([(d.doc_id, d.text) for d in docs]).items() if s >= 0.8]
+    got = {r.doc_id: r.class_id for r in queries.op9_minhash_near_dedup(spark, sf).collect()}
+    found = [got[docs[i].doc_id] == got[docs[j].doc_id] for i, j in near]
+    assert near and sum(found) >= 0.99 * len(found)
+    want = closure(len(docs), near)
+    for i, d in enumerate(docs):
+        assert want[i] == want[next(j for j, e in enumerate(docs) if e.doc_id == got[d.doc_id])]
+
+
+@pytest.mark.parametrize("unit", [2_000_000, 700])
+def test_document_frequencies(spark, unit):
+    """Every block gets the counts of all rows, however the rows are dealt; repeated rows count each."""
+    p = neardup.NearDup(unit=unit)
+    rows = [(i, 0, f"all of us say this here and {i} {i} {i}" + (" half of us say that too" if i % 2 else "")) for i in range(300)] + [(7, 0, "one row that occurs twice")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, th long, text string").repartition(7)
+    laid = neardup.written(docs.mapInArrow(neardup._lay(p), neardup._LAID), "laid")
+    assert laid.count() == len(rows) and laid.where("copies > 0").agg({"copies": "sum"}).first()[0] == len(rows)
+    known = neardup._Frequencies(neardup.document_frequencies(laid, p))
+    df = Counter(s for _, _, t in rows for s in bag(t))
+    for r in laid.where("copies > 0").collect():
+        (w,) = neardup.words_of(pa.array([r.text]))
+        _, shingle, count = neardup.shingle_counts(w)
+        assert sorted(known.of(r.block, shingle).tolist()) == sorted(df[s] for s in bag(r.text))
+
+
+@pytest.mark.parametrize("block,pivots", [(256, 4), (4, 1)])
+def test_large_buckets(spark, block, pivots):
+    """Chains whose ends are unlike, and several classes in one bucket, against all pairs."""
+    rng = random.Random(5)
+    rows = []
+    for chain in range(3):
+        words = [f"c{chain}w{i}" for i in range(120)]
+        for step in range(40):
+            words = words[:]
+            words[rng.randrange(120)] = f"x{chain}s{step}"
+            rows.append(" ".join(words))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    similar = brute(rows)
+    # one sample a band: buckets hold what is hardly alike
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs, p=neardup.NearDup(bands=40, rows=1, block=block, pivots=pivots)).collect()}
+    assert closure(len(rows), [ij for ij, s in similar.items() if s >= 0.8]) == [got[i] for i in range(len(rows))]
+
+
+def test_long_texts_among_short_ones(spark):
+    long = " ".join(f"w{i % 9000}x{i // 7}" for i in range(40_000))
+    rows = [(1, long), (2, long + " end"), (3, "short one"), (4, None), (5, "a " * 30_000), (6, "a " * 30_001)]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5}
+
+
+def test_common_weight_is_that_of_all_pairs():
+    rows = near_copies(4)[:60]
+    n = len(rows)
+    (w,) = neardup.words_of(pa.array([t for _, t in rows]))
+    doc, shingle, count = neardup.shingle_counts(w)
+    held = Counter(shingle.tolist())
+    sets = [(shingle[doc == d], count[doc == d].astype(np.uint32), np.array([held[x] for x in shingle[doc == d].tolist()])) for d in range(n)]
+    for (i, j), s in brute(rows).items():
+        total = [neardup.weight(sets[x][1], sets[x][2], n).sum() for x in (i, j)]
+        low = neardup.common_weight(sets[i], sets[j], n)
+        assert math.isclose(low / (sum(total) - low), s, rel_tol=1e-9)
 
 
 def test_samples_estimate_similarity():
     rows = near_copies(3)[:80]
     p = neardup.NearDup(bands=64, rows=1)
-    similar = brute(rows, p)
-    column = pa.array([t for _, t in rows])
-    (w,) = neardup.words_of(column)
+    similar = brute(rows)
+    (w,) = neardup.words_of(pa.array([t for _, t in rows]))
     doc, shingle, count = neardup.shingle_counts(w)
-    none = np.zeros(0, np.uint64)
-    _, bands = neardup.Sampler(p).bands(doc, shingle, neardup.weight(shingle, count, none, np.zeros(0)), w.n_docs)
+    held = Counter(shingle.tolist())
+    df = np.array([held[x] for x in shingle.tolist()])
+    _, bands = neardup.Sampler(p).bands(doc, shingle, neardup.weight(count, df, len(rows)), w.n_docs)
     error = [(bands[i] == bands[j]).mean() - s for (i, j), s in similar.items() if s > 0.3]
     assert abs(np.mean(error)) < 0.06 and np.std(error) < 0.12
 
