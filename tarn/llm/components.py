@@ -3,20 +3,16 @@
 Every round replaces the edges by at most as many, so a component of any size
 becomes a star around its least node in logarithmically many rounds.  No node's
 neighbours are ever gathered: a round is two grouped minima and two joins, and
-the edges of a node that holds more than one ``SHARE``-th of them all are dealt
-to several tasks.
+the edges of a node with a large share of them all are dealt to several tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import discard, written
-
-#: A node of more than 1 / SHARE of the edges is split; at most 2 * SHARE nodes are, which bounds what is broadcast.
-SHARE = 512
-
+from .skew import dealt_join
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """Rows (node, root) for every node that occurs in ``edges`` (a, b).
@@ -28,14 +24,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     current = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = _state(current)
     while seen[0]:
-        limit = max(1, seen[0] // SHARE)
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _around(both, limit, F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = _around(large, limit, F.lit(True))
+        large = written(_least_around(both, 2 * seen[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), "large")
+        small = _least_around(large, seen[0])
         small = small.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         after = written(small.select("e.*").where("a != b").distinct(), "edges")
         now = _state(after)
-        discard(spark, current)
+        discard(spark, current, large)
         current = after
         if now == seen:
             break
@@ -44,15 +39,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _around(edges: DataFrame, limit: int, keep: Column) -> DataFrame:
-    """The edges that ``keep`` names, with ``m``, the least of ``a`` and all its neighbours."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    least = least.select("a", F.least("a", "m").alias("m"), F.ceil(F.col("n") / limit).cast("int").alias("cells"))
-    hot = F.broadcast(least.where("cells > 1").select(F.col("a").alias("hot"), F.col("cells").alias("among")))
-    dealt = edges.where(keep).join(hot, F.col("a") == F.col("hot"), "left")
-    dealt = dealt.withColumn("cell", F.when(F.col("among").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("b"), F.col("among")).cast("int"))).drop("hot", "among")
-    least = least.select("a", "m", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
-    return dealt.join(least, ["a", "cell"])
+def _least_around(edges: DataFrame, total: int) -> DataFrame:
+    """The edges with ``m``, the least of ``a`` and all its neighbours."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
+    return dealt_join(edges, least, ["a"], "n", ["b"], total).drop("n")
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import discard, written
 from .components import connected_components
 from .lookup import Lookup, deal
+from .skew import dealt_join
 from .textvec import SHINGLE_BITS, Words, mix, shingle_counts, words_of
 
 
@@ -496,11 +497,13 @@ def _classes(docs: DataFrame, doc_id: str, text: str, p: NearDup) -> tuple[DataF
     frequencies = document_frequencies(laid, p)
     banded = texts.mapInArrow(_sign(frequencies, n, p), "k1 long, k2 long, size long, band int, value long").distinct()
     banded = written(banded, "banded")
+    total = banded.count()
     member = F.xxhash64("k1", "k2")
     bucket = banded.groupBy("band", "value").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum((member % 1_000_000_007)).alias("s1"), F.bit_xor(member).alias("s2")).where("n > 1")
     # buckets of the same members are one
     bucket = bucket.groupBy("n", "size", "s1", "s2").agg(F.min(F.struct("band", "value")).alias("one"))
-    members = banded.join(bucket.select("n", F.col("size").alias("sizes"), "one.band", "one.value"), ["band", "value"])
+    bucket = bucket.select("n", F.col("size").alias("sizes"), "one.band", "one.value")
+    members = dealt_join(banded, bucket, ["band", "value"], "n", ["k1", "k2"], total)
     members = written(members.select(F.xxhash64("band", "value").alias("bucket"), "n", "sizes", "k1", "k2"), "members")
 
     # the shared shingles of all members, once
@@ -525,8 +528,8 @@ def _classes(docs: DataFrame, doc_id: str, text: str, p: NearDup) -> tuple[DataF
     sizes = classed.groupBy("bucket", "class").agg(F.count("*").alias("n"))
     split = sizes.groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("all")).where("all > top.n")
     half = max(1, p.block // 2)
-    split = split.select("bucket", F.col("top.class").alias("largest"), F.ceil(F.col("all") / half).cast("int").alias("columns"), F.ceil((F.col("all") - F.col("top.n")) / half).cast("int").alias("lines"))
-    split = classed.join(split, "bucket")
+    split = split.select("bucket", F.col("top.class").alias("largest"), "all", F.ceil(F.col("all") / half).cast("int").alias("columns"), F.ceil((F.col("all") - F.col("top.n")) / half).cast("int").alias("lines"))
+    split = dealt_join(classed, split, ["bucket"], "all", ["k1", "k2"], total)
     place = F.xxhash64("k2", "k1")
     column = split.select("bucket", "k1", "k2", "class", F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("line"), F.pmod(place, "columns").cast("int").alias("column"))
     line = split.where(F.col("class") != F.col("largest")).select("bucket", "k1", "k2", "class", F.pmod(place, "lines").cast("int").alias("line"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"))
@@ -577,11 +580,14 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     rows = rows.join(first, "root").where(~stays | (F.col("n") > 1))
     rows = written(rows.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), stays.alias("_stays")), "gone")
 
-    same = docs[doc_id].cast("long").eqNullSafe(rows["_id"]) & docs[text].isNotNull() & (F.xxhash64(docs[text]) == rows["_th"])
+    given = docs.columns
+    docs = docs.toDF(*[f"c{i}" for i in range(len(given))])
+    id_, said = (docs[f"c{[c.lower() for c in given].index(x.lower())}"] for x in (doc_id, text))
+    same = id_.cast("long").eqNullSafe(rows["_id"]) & said.isNotNull() & (F.xxhash64(said) == rows["_th"])
     left = docs.join(rows, same, "left_anti")
     if rows.where("_stays").isEmpty():
-        return left
+        return left.toDF(*given)
     repeated = docs.join(rows.where("_stays"), same)
-    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    one = repeated.groupBy("_id", "_th").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*hashed)).alias("_row"))
-    return left.unionByName(one.select("_row.*"))
+    hashed = [F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    one = repeated.groupBy("_id", "_th").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias("_row"))
+    return left.unionByName(one.select("_row.*")).toDF(*given)
