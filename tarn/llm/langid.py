@@ -9,6 +9,7 @@ wrong bits are corrected.  A document whose nearest two codewords lie within
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -17,14 +18,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .names import col, ddl, free_name
 from .textvec import LOWER, doc_ranges, mix, utf8
 
 
 @dataclass(frozen=True)
 class LangId:
-    """``sample``: bound on the labelled documents that training takes, dealt evenly to the languages."""
+    """``sample``: bound on the labelled documents that training takes, dealt evenly to the languages.
+
+    ``languages``: bound on the labels that are learned, the most frequent ones.
+    """
 
     sample: int = 4000
+    languages: int = 1000
     dims: int = 2048
     max_bits: int = 63
     steps: int = 300
@@ -136,61 +142,71 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], p: LangId) -> Mode
     return Model(languages, code, w, b, p, max(float(np.log(2)) / 2, float(loss.min(1).max())))
 
 
+_PICKED = "lang string, place long, x binary"
+
+
 def fit(labelled: DataFrame, p: LangId = LangId(), text: str = "text", lang: str = "lang", order: str = "doc_id") -> Model | None:
     """A model of the languages in ``labelled``; None if no row has both text and label.
 
     Training takes ``sample`` rows at most, evenly by language: those with the
-    least hash of ``order`` (which is not a feature).
+    least hash of ``order`` and text (neither is a feature as such); rows that
+    repeat both count once.  It runs in one task; only the weights reach the driver.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    place = F.xxhash64(col(order).cast("string"), col(text), F.lit(p.seed))
+    rows = labelled.where(col(lang).isNotNull() & col(text).isNotNull() & col(text).rlike(r"\p{L}")).select(col(lang).cast("string").alias("lang"), col(text).alias("text"), place.alias("place"))
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.languages).collect()}
     if not counts:
         return None
     each = max(1, p.sample // len(counts))
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, each / n))])
-    place = F.pmod(F.xxhash64(F.col(order).cast("string"), F.lit(p.seed)), F.lit(1_000_000)) / 1e6
-    picked = rows.where(place < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    # twice as many as are wanted lie below these hashes, give or take; the least of them are taken in the end
+    below = {k: min(2**63 - 1, -(2**63) + (2 * each + 64) * 2**64 // n) for k, n in counts.items()}
+    limit = F.create_map(*[F.lit(v) for pair in below.items() for v in pair])
+    picked = rows.where(F.col("place") <= limit[F.col("lang")]).dropDuplicates(["lang", "place"]).select("lang", "place", "text")
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, x in ngram_features(batch.column(1), p.dims):
-                yield pa.record_batch([batch.column(0).slice(a, len(x)), pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary())], ["lang", "x"])
-
-    got = picked.mapInArrow(features, "lang string, x binary").limit(2 * p.sample).toArrow()
-    if not got.num_rows:
-        return None
-    names = sorted(set(got.column("lang").to_pylist()))
-    y = np.array([names.index(v) for v in got.column("lang").to_pylist()])
-    rows = got.column("x").combine_chunks()
-    start = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset]
-    x = np.frombuffer(rows.buffers()[2], np.float32, len(rows) * p.dims, int(start)).reshape(-1, p.dims)
-    # an order that doesn't depend on how the rows arrived
-    order_of = np.lexsort((*x[:, :3].T, y))
-    x, y = x[order_of], y[order_of]
-    del got, rows
-    pa.default_memory_pool().release_unused()
-    return train(x, y, names, p)
+            for a, x in ngram_features(batch.column(2), p.dims):
+                yield pa.record_batch([*(batch.column(i).slice(a, len(x)) for i in range(2)), pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary())], ["lang", "place", "x"])
+
+    def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())]
+        rows.sort()
+        names = sorted({r[0] for r in rows})
+        taken: dict[str, int] = {}
+        kept = []
+        for r in rows:
+            taken[r[0]] = taken.get(r[0], 0) + 1
+            if taken[r[0]] <= each:
+                kept.append(r)
+        del rows
+        x = np.frombuffer(b"".join(r[2] for r in kept), np.float32).reshape(-1, p.dims)
+        model = train(x, np.array([names.index(r[0]) for r in kept]), names, p)
+        yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    learned = picked.mapInArrow(features, _PICKED).repartition(1).mapInArrow(learn, "model binary").first()
+    return pickle.loads(learned.model)
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` with ``_lang``: struct(lang, score, margin, ambiguous, distance).
+    """``docs`` with one more column, the last: struct(lang, score, margin, ambiguous, distance).
 
-    ``distance`` is the loss per bit to the nearest codeword, infinite for ``und``.
+    It is called ``_lang``, with more underscores where ``docs`` has such a
+    column.  ``distance`` is the loss per bit to the nearest codeword, infinite
+    for ``und``.
 
     A null text, or one without a letter, is ``und`` with score 0, as is
     everything where no model could be learned.  Other columns pass through.
     """
-    if {"_lang", "_letter"} & set(docs.columns):
-        raise ValueError("columns _lang and _letter are reserved")
-    inner = docs.withColumn("_letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema)
+    name = free_name(docs, "_lang")
+    letter = free_name(docs, "_letter")
+    inner = docs.withColumn(letter, F.coalesce(col(text).rlike(r"\p{L}"), F.lit(False)))
     out_type = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("ambiguous", pa.bool_()), ("distance", pa.float64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
             result: list[dict] = []
-            letter = batch.column(names.index("_letter")).to_pylist()
+            has_letter = batch.column(len(names) - 1).to_pylist()
             for a, x in ngram_features(batch.column(names.index(text)), model.params.dims if model else 2):
                 if model:
                     loss = model.losses(x)
@@ -201,14 +217,14 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
                     odds = np.exp(-model.code.shape[1] * (loss - loss[at, best][:, None]))
                     score = 1 / odds.sum(1)
                 for d in range(len(x)):
-                    if model and letter[a + d]:
+                    if model and has_letter[a + d]:
                         result.append({"lang": model.languages[best[d]], "score": float(score[d]), "margin": float(gap[d]), "ambiguous": bool(gap[d] < model.params.ambiguous), "distance": float(loss[d, best[d]])})
                     else:
                         result.append({"lang": UNKNOWN, "score": 0.0, "margin": 0.0, "ambiguous": True, "distance": float("inf")})
-            yield pa.record_batch([*batch.columns, pa.array(result, out_type)], [*names, "_lang"])
+            yield pa.record_batch([*batch.columns[:-1], pa.array(result, out_type)], [*names[:-1], name])
 
-    kinds += ", _lang struct<lang:string,score:double,margin:double,ambiguous:boolean,distance:double>"
-    return inner.mapInArrow(run, kinds).drop("_letter")
+    kinds = f"{ddl(docs)}, {name} struct<lang:string,score:double,margin:double,ambiguous:boolean,distance:double>"
+    return inner.mapInArrow(run, kinds)
 
 
 def held_out(doc_id: str = "doc_id"):
