@@ -18,7 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import fresh_path, written
+from ..sources.scratch import discard, fresh_path, written
+from .names import col, columns_of, free_name
 
 
 @dataclass(frozen=True)
@@ -30,8 +31,6 @@ class Rule:
     group: int = 0
     least: int = 1
     version: int = 1
-    #: A cheaper pattern without which the rule cannot match.
-    hint: str = ""
 
 
 # The three base rules.
@@ -47,8 +46,10 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
-#: Findings of up to this estimated size are broadcast to the versions.
+#: Findings, and addresses of new blobs, of up to this estimated size are broadcast to the versions.
 BROADCAST_BYTES = 32 << 20
+#: Of one address in memory.
+BLOB_BYTES = 128
 
 _SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
@@ -96,52 +97,54 @@ def scan_new_blobs(versions: DataFrame, ledger: str, text: str = "text", rules:
     """
     spark = versions.sparkSession
     known = _ledger(spark, ledger)
-    # One row stands for a blob: that with the least hash of all its columns.  Texts move once, under a key that only
-    # wholly equal rows share.
-    tie = F.xxhash64(*[F.col(c) for c, kind in versions.dtypes if "map<" not in kind])
-    content = versions.select(F.coalesce(F.col(text), F.lit("")).alias("text"), content_address(F.col(text)).alias("blob"), tie.alias("tie"))
-    chosen = content.groupBy("blob").agg(F.min("tie").alias("tie"))
-    wanted = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
+    content = versions.select(content_address(col(text)).alias("blob"), F.coalesce(col(text), F.lit("")).alias("text"))
+    wanted = F.array(*[_pair(r) for r in rules])
     seen = known.groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("seen"))
-    todo = chosen.join(seen, "blob", "left").select("blob", "tie", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<struct<kind:string,version:int>>"))).alias("todo")).where("size(todo) > 0")
+    todo = content.select("blob").distinct().join(seen, "blob", "left").select("blob", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<struct<kind:string,version:int>>"))).alias("todo")).where("size(todo) > 0")
     todo = written(todo, "todo")
     n = todo.count()
     if not n:
         return 0
-    unseen = content.join(todo.hint("shuffle_hash"), ["blob", "tie"])
+    # Few new blobs (an increment): other texts are left where they are.  Else texts move once, by blob, and each task
+    # first drops those that it has already.
+    if n * BLOB_BYTES <= BROADCAST_BYTES and 8 * n <= versions.count():
+        content = content.join(F.broadcast(todo.select("blob")), "blob", "left_semi")
+    unseen = content.groupBy("blob").agg(F.first("text").alias("text")).join(todo, "blob")
     found = F.array(*[
-        F.when(
-            F.array_contains(F.col("todo"), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"))),
-            F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans_of(F.col("text"), r, i).alias("spans")),
-        )
+        F.when(F.array_contains(F.col("todo"), _pair(r)), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans_of(F.col("text"), r, i).alias("spans")))
         for i, r in enumerate(rules)
-    ])
+    ])
     unseen.select("blob", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select("blob", "f.*").write.mode("append").parquet(ledger)
+    discard(spark, todo)
     return n
 
 
+def _pair(rule: Rule) -> Column:
+    return F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"))
+
+
 def scan_secrets(versions: DataFrame, ledger: str | None = None, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``versions`` with ``_spans``: all spans of every row's text, by start and then by rule.
+    """``versions`` with one more column, the last: all spans of every row's text, by start and then by rule.
 
-    Scans what is new and reads the rest from the ledger; without a ``ledger`` a
-    new one is made in the shared folder.  All rows and columns stay; a null
-    text has no spans.  A column ``_spans`` or ``_blob`` is refused.
+    It is called ``_spans``, with more underscores where ``versions`` has such a
+    column.  Scans what is new and reads the rest from the ledger; without a
+    ``ledger`` a new one is made in the shared folder.  All rows and columns stay;
+    a null text has no spans.
     """
-    if {"_spans", "_blob"} & set(versions.columns):
-        raise ValueError("columns _spans and _blob are reserved")
     spark = versions.sparkSession
     ledger = ledger or fresh_path(spark, "ledger")
     scan_new_blobs(versions, ledger, text, rules)
+    name, blob = free_name(versions, "_spans"), free_name(versions, "_blob")
     current = reduce(lambda a, b: a | b, [(F.col("kind") == r.kind) & (F.col("version") == r.version) for r in rules])
     known = _ledger(spark, ledger).where(current & (F.size("spans") > 0)).dropDuplicates(["blob", "kind", "version"])
-    findings = known.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("_spans")).withColumnRenamed("blob", "_blob")
+    findings = known.groupBy(F.col("blob").alias(blob)).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias(name))
     findings = written(findings, "findings")
     # Texts need not move if what was found is small; else both sides are dealt by blob.
-    found_bytes = findings.agg(F.sum(F.size("_spans") * 48 + 128)).first()[0] or 0
+    found_bytes = findings.agg(F.sum(F.size(name) * 48 + 128)).first()[0] or 0
     if found_bytes <= BROADCAST_BYTES:
         findings = F.broadcast(findings)
-    none = F.array().cast(_SPANS)
-    return versions.withColumn("_blob", content_address(F.col(text))).join(findings, "_blob", "left").withColumn("_spans", F.coalesce("_spans", none)).drop("_blob")
+    joined = versions.withColumn(blob, content_address(col(text))).join(findings, blob, "left")
+    return joined.select(*columns_of(versions), F.coalesce(name, F.array().cast(_SPANS)).alias(name))
 
 
 def spans_text(spans: Column) -> Column:
