@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .names import col, ddl, free_name
+
 PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, DATA_PID, NULL_PID = 0, 0x1000, 0x100, 0x1FFF
 PRIVATE_STREAM_1, PRIVATE_DATA = 0xBD, 0x06
@@ -243,8 +245,13 @@ def padded(text: bytes, block: int = 64) -> bytes:
 
 
 def add_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
-    """``docs`` with ``media``: the text in UTF-8, padded and stored as a transport stream.  Null counts as empty."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{media}` binary"
+    """``docs`` with one more column, the last: the text in UTF-8, padded and stored as a transport stream.
+
+    It is called ``media``, with underscores before it where ``docs`` has such a
+    column.  Null counts as empty.
+    """
+    media = free_name(docs, media)
+    kinds = f"{ddl(docs)}, `{media}` binary"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,8 +261,6 @@ def add_media(docs: DataFrame, text: str = "text", media: str = "media") -> Data
                 made = pa.array([mux(padded((t or "").encode())) for t in texts.to_pylist()], pa.binary())
                 yield pa.record_batch([*part.columns, made], [*part.schema.names, media])
 
-    if media in docs.columns:
-        raise ValueError(f"there is a column {media}")
     return docs.mapInArrow(run, kinds)
 
 
@@ -269,10 +274,13 @@ def media_features(docs: DataFrame, media: str = "media", keep: tuple[str, ...]
     null stream gives nulls; a damaged one gives what can be read of it, with
     its errors counted in ``feature``.
     """
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    kinds += ", " + _READ + ", units array<struct<pts:long,random_access:boolean,packet:int,bytes:int>>"
+    kept = docs.select(*map(col, keep))
+    read = [x.split()[0] for x in _READ.split(", ")] + ["units"]
+    if {k.lower() for k in keep} & set(read):
+        raise ValueError(f"columns to keep must not be called {', '.join(read)}")
+    kinds = ddl(kept) + ", " + _READ + ", units array<struct<pts:long,random_access:boolean,packet:int,bytes:int>>"
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("pts", pa.int64()), ("random_access", pa.bool_()), ("packet", pa.int32()), ("bytes", pa.int32())]))]
-    names = [*keep, *(x.split()[0] for x in _READ.split(", ")), "units"]
+    names = [*keep, *read]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,7 +296,7 @@ def media_features(docs: DataFrame, media: str = "media", keep: tuple[str, ...]
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
             yield pa.record_batch([*(batch.column(batch.schema.get_field_index(k)) for k in keep), *columns], names)
 
-    return docs.select(*dict.fromkeys((*keep, media))).mapInArrow(run, kinds)
+    return docs.select(*map(col, dict.fromkeys((*keep, media)))).mapInArrow(run, kinds)
 
 
 def sizes(text: str = "text"):

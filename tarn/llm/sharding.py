@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
+from .names import free_name
 
 
 def byte_shards(rows: DataFrame, shards: int, order: str, size: str = "size", partitions: int | None = None) -> DataFrame:
@@ -23,13 +24,17 @@ def byte_shards(rows: DataFrame, shards: int, order: str, size: str = "size", pa
     ``order``.  Ties in ``order`` are broken by size and then by the rows' places
     in the input; a null order comes first.  Sizes must be positive; null counts
     as 0.  With fewer rows than shards some shards stay empty, an empty table
-    gives an empty result.  Columns that start with ``_shard_`` are refused.
+    gives an empty result.  The new columns are the last two; where ``rows`` has
+    such columns, they have underscores before their names.
     """
     if shards < 1:
         raise ValueError("at least one shard is needed")
-    if any(c.startswith("_shard_") for c in rows.columns) or {"shard", "slot"} & set(rows.columns):
-        raise ValueError("columns shard, slot and _shard_* are reserved")
     spark = rows.sparkSession
+    names = [free_name(rows, "shard"), free_name(rows, "slot")]
+    given = rows.columns
+    rows = rows.toDF(*[f"c{i}" for i in range(len(given))])
+    lower = [c.lower() for c in given]
+    order, size = (f"c{lower.index(c.lower())}" for c in (order, size))
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sized = rows.withColumn("_shard_size", F.coalesce(F.col(size), F.lit(0)).cast("long")).withColumn("_shard_tie", F.monotonically_increasing_id())
     keys = [F.col(order).asc_nulls_first(), F.col("_shard_size").asc(), F.col("_shard_tie").asc()]
@@ -59,7 +64,7 @@ def byte_shards(rows: DataFrame, shards: int, order: str, size: str = "size", pa
     placed = placed.withColumn("_shard_at", F.col("_shard_n0") + F.col("_shard_row") - 1)
     first = placed.groupBy("shard").agg(F.min("_shard_at").alias("_shard_first"))
     out = placed.join(F.broadcast(first), "shard").withColumn("slot", F.col("_shard_at") - F.col("_shard_first"))
-    return out.select(*rows.columns, "shard", "slot")
+    return out.select(*rows.columns, "shard", "slot").toDF(*given, *names)
 
 
 def document_sizes(docs: DataFrame, overhead: int = 16) -> DataFrame:
