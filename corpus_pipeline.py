@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import decontam, langid, neardup, packing, secrets
+from tarn.llm.names import columns_of
 from tarn.sources.scratch import written
 
 
@@ -18,7 +19,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     if model is None:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     found = langid.identify(docs, model)
-    return found.where((found["_lang.lang"] != langid.UNKNOWN) & (found["_lang.distance"] <= model.limit)).select(*docs.columns)
+    lang = found.columns[-1]
+    return found.where((F.col(f"{lang}.lang") != langid.UNKNOWN) & (F.col(f"{lang}.distance") <= model.limit)).select(*columns_of(docs))
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by their kind in brackets."""
     found = secrets.scan_secrets(docs)
-    return found.withColumn("text", secrets.redact(found["text"], found["_spans"])).select(*docs.columns)
+    return found.withColumn("text", secrets.redact(found["text"], found[found.columns[-1]])).select(*columns_of(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
