@@ -231,7 +231,7 @@ def document_frequencies(laid: DataFrame, p: NearDup) -> Lookup:
     total = laid.agg(F.sum("size")).first()[0] or 0
     parts = max(ways, -(-int(total) // p.unit))
     sent = laid.where("copies > 0").select("block", "copies", "text").mapInArrow(_send(p, parts), "part int, block long, shingles binary, n binary")
-    counted = sent.repartition(ways, "part").sortWithinPartitions("part").mapInArrow(_count, "block long, shingles binary, df binary")
+    counted = sent.repartitionById(ways, F.col("part") % ways).sortWithinPartitions("part").mapInArrow(_count, "block long, shingles binary, df binary")
     return deal(counted, "block", "frequencies")
 
 
@@ -540,13 +540,19 @@ def _classes(docs: DataFrame, doc_id: str, text: str, p: NearDup) -> tuple[DataF
     more = written(grouped.mapInArrow(_across(n, p), "a1 long, a2 long, b1 long, b2 long"), "more-links")
     merged = _components(more)
 
-    roots = within.join(merged.select(F.struct("k1", "k2").alias("root"), F.col("root").alias("whole")), "root", "left").select("k1", "k2", F.coalesce("whole", "root").alias("root"))
-    alone = merged.join(roots, ["k1", "k2"], "left_anti").select("k1", "k2", "root")
+    # the classes' own nodes and roots, then those of single documents that were linked in the second step
+    nodes = within.groupBy("root").agg(F.count("*").alias("n"))
+    whole = merged.select(F.struct("k1", "k2").alias("root"), F.col("root").alias("whole"))
+    nodes = nodes.join(whole, "root", "left").select("root", "n", F.coalesce("whole", "root").alias("whole"))
+    roots = dealt_join(within, nodes, ["root"], "n", ["k1", "k2"], within.count()).select("k1", "k2", F.col("whole").alias("root"))
+    alone = merged.join(within, ["k1", "k2"], "left_anti").select("k1", "k2", "root")
     roots = written(roots.unionByName(alone), "roots")
-    classes = copies.join(roots, ["k1", "k2"], "left").select("k1", "k2", F.col("least").alias("doc_id"), F.coalesce("root", F.struct("k1", "k2")).alias("root"), "n", F.col("root").isNotNull().alias("linked"))
-    least = classes.where("linked").groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    classes = classes.where("linked or n > 1").join(least, "root", "left").select("k1", "k2", "root", F.coalesce("class_id", "doc_id").alias("class_id"))
-    classes = written(classes, "classes")
+    classes = copies.join(roots, ["k1", "k2"], "left").select("k1", "k2", "least", "n", "root")
+    linked = classes.where("root is not null")
+    least = linked.groupBy("root").agg(F.min("least").alias("class_id"), F.count("*").alias("nodes"))
+    linked = dealt_join(linked, least, ["root"], "nodes", ["k1", "k2"], roots.count()).select("k1", "k2", "n", "root", "class_id")
+    alone = classes.where("root is null and n > 1").select("k1", "k2", "n", F.struct("k1", "k2").alias("root"), F.col("least").alias("class_id"))
+    classes = written(linked.unionByName(alone), "classes")
     discard(spark, laid, frequencies.path, wanted.path, banded, members, sets, links, within, more, roots)
     return signed, classes
 
@@ -561,7 +567,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     * Other columns are not read; an empty table gives an empty result.
     """
     signed, classes = _classes(docs, doc_id, text, p)
-    out = signed.join(classes, ["k1", "k2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    out = dealt_join(signed, classes, ["k1", "k2"], "n", ["doc_id", "th"], signed.count(), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
@@ -573,11 +579,11 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     ``docs``.
     """
     signed, classes = _classes(docs, doc_id, text, p)
-    rows = signed.join(classes, ["k1", "k2"]).groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
+    rows = dealt_join(signed, classes, ["k1", "k2"], "n", ["doc_id", "th"], signed.count()).groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
     rows = written(rows, "class-rows")
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("first"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("first"), F.count("*").alias("rows"))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
-    rows = rows.join(first, "root").where(~stays | (F.col("n") > 1))
+    rows = dealt_join(rows, first, ["root"], "rows", ["doc_id", "th"], rows.count()).where(~stays | (F.col("n") > 1))
     rows = written(rows.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), stays.alias("_stays")), "gone")
 
     given = docs.columns
