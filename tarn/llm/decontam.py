@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import written
 from .lookup import Lookup, deal
-from .names import col, columns_of, ddl, free_name
+from .names import at, col, columns_of, free_name, map_rows
 from .textvec import Words, find_words, mix, words_of
 
 
@@ -320,11 +320,11 @@ _HITS = "struct<n_words:bigint,spans:array<array<bigint>>,items:array<string>>"
 _OUT = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
 
 
-def _stream(automata: Lookup, groups: list[list[int]], text: str, hits: str):
-    """Adds the column ``hits``; spans are of word numbers and of bytes: [word, word, byte, byte]."""
+def _stream(automata: Lookup, groups: list[list[int]], text: int):
+    """Adds what is found in the column at the place ``text``; spans are of word numbers and of bytes: [word, word, byte, byte]."""
 
     def found(batch: pa.RecordBatch, loaded: list[SuffixAutomaton], result: list[dict]) -> None:
-        for w in words_of(batch.column(batch.schema.get_field_index(text))):
+        for w in words_of(batch.column(text)):
             n = np.diff(w.bounds)
             for d in range(w.n_docs):
                 result[w.first + d]["n_words"] = int(n[d])
@@ -344,7 +344,7 @@ def _stream(automata: Lookup, groups: list[list[int]], text: str, hits: str):
                 for batch, result in zip(held, results):
                     found(batch, loaded, result)
             for batch, result in zip(held, results):
-                yield pa.record_batch([*batch.columns, pa.array(result, _OUT)], [*batch.schema.names, hits])
+                yield pa.record_batch([*batch.columns, pa.array(result, _OUT)], [*batch.schema.names, "added"])
 
         for batch in batches:
             held.append(batch)
@@ -368,8 +368,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     is hit.
     """
     automata, groups = build_automata(benchmark, item_id, item_text, limits)
-    hits = free_name(docs, "_hits")
-    return docs.mapInArrow(_stream(automata, groups, text, hits), f"{ddl(docs)}, {hits} {_HITS}")
+    return map_rows(docs, _stream(automata, groups, at(docs, text)), free_name(docs, "_hits"), _HITS)
 
 
 def hit_words(spans) -> "F.Column":

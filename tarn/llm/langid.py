@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .names import col, ddl, free_name
+from .names import at, col, columns_of, free_name, map_rows
 from .textvec import LOWER, doc_ranges, mix, utf8
 
 
@@ -197,9 +197,8 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     A null text, or one without a letter, is ``und`` with score 0, as is
     everything where no model could be learned.  Other columns pass through.
     """
-    name = free_name(docs, "_lang")
-    letter = free_name(docs, "_letter")
-    inner = docs.withColumn(letter, F.coalesce(col(text).rlike(r"\p{L}"), F.lit(False)))
+    name, letter, place = free_name(docs, "_lang"), free_name(docs, "_letter"), at(docs, text)
+    inner = docs.select(*columns_of(docs), F.coalesce(col(text).rlike(r"\p{L}"), F.lit(False)).alias(letter))
     out_type = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("ambiguous", pa.bool_()), ("distance", pa.float64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +206,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
             names = batch.schema.names
             result: list[dict] = []
             has_letter = batch.column(len(names) - 1).to_pylist()
-            for a, x in ngram_features(batch.column(names.index(text)), model.params.dims if model else 2):
+            for a, x in ngram_features(batch.column(place), model.params.dims if model else 2):
                 if model:
                     loss = model.losses(x)
                     order = np.argsort(loss, axis=1, kind="stable")
@@ -221,10 +220,10 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
                         result.append({"lang": model.languages[best[d]], "score": float(score[d]), "margin": float(gap[d]), "ambiguous": bool(gap[d] < model.params.ambiguous), "distance": float(loss[d, best[d]])})
                     else:
                         result.append({"lang": UNKNOWN, "score": 0.0, "margin": 0.0, "ambiguous": True, "distance": float("inf")})
-            yield pa.record_batch([*batch.columns[:-1], pa.array(result, out_type)], [*names[:-1], name])
+            yield pa.record_batch([*batch.columns, pa.array(result, out_type)], [*names, "added"])
 
-    kinds = f"{ddl(docs)}, {name} struct<lang:string,score:double,margin:double,ambiguous:boolean,distance:double>"
-    return inner.mapInArrow(run, kinds)
+    found = map_rows(inner, run, name, "struct<lang:string,score:double,margin:double,ambiguous:boolean,distance:double>")
+    return found.select(*columns_of(docs), col(name))
 
 
 def held_out(doc_id: str = "doc_id"):

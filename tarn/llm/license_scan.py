@@ -9,13 +9,18 @@ half.
 
 Word 1- to 3-grams that occur in the training statements are the sparse features
 of a multinomial logistic regression over the licence families and an unknown
-class.  Its probabilities are calibrated by a temperature fitted on held-out
-units.  A unit names the families of probability ``low`` or more, and above that
-of the unknown class, if all families together have ``least`` or more.  A
-statement counts if the unit of its own words names its family; its finding is
-confirmed.
-
-Negatives are lines of the corpus: a bounded sample of ``negatives`` of them.
+class, which also learns from statements of licences beyond the families.  Its
+probabilities are calibrated by a temperature fitted on statements, foreign
+licences and look-alikes of which training for that fit saw nothing.  A unit
+names the families of probability ``low`` or more, and above that of the unknown
+class, if all families together have ``least`` or more.  A statement counts if
+the unit of its own words names its family; its finding is confirmed.
+
+A family also needs the words that tell licences apart: those of its template
+that are names or versions must be there, and no word that makes another licence
+of the name ("Lesser", "Affero") may be, unless another family in the unit has it.
+
+Negatives are windows of the corpus: a bounded sample of ``negatives`` of them.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .names import col
 from .textvec import Words, find_words, mix, words_of
 
 UNKNOWN = "unknown"
@@ -110,6 +116,35 @@ LOOKALIKES = (
 )
 
 
+#: Licences beyond the families, by name and identifier; statements of them are of the unknown class.
+FOREIGN = (
+    ("GNU Lesser General Public License, version 2.1", "LGPL-2.1-only"),
+    ("GNU Affero General Public License, version 3", "AGPL-3.0-only"),
+    ("GNU Free Documentation License, version 1.3", "GFDL-1.3-only"),
+    ("Artistic License 2.0", "Artistic-2.0"),
+    ("Eclipse Public License 2.0", "EPL-2.0"),
+    ("Common Development and Distribution License, version 1.1", "CDDL-1.1"),
+    ("Boost Software License, Version 1.0", "BSL-1.0"),
+    ("European Union Public Licence, version 1.2", "EUPL-1.2"),
+    ("Creative Commons Attribution-NoDerivatives 4.0 International License", "CC-BY-ND-4.0"),
+    ("Creative Commons Attribution 3.0 Unported License", "CC-BY-3.0"),
+    ("Apache License, Version 1.1", "Apache-1.1"),
+    ("Mozilla Public License, Version 1.1", "MPL-1.1"),
+    ("2-Clause BSD License", "BSD-2-Clause"),
+    ("SIL Open Font License, Version 1.1", "OFL-1.1"),
+    ("Microsoft Public License", "MS-PL"),
+    ("zlib License", "Zlib"),
+    ("PostgreSQL License", "PostgreSQL"),
+    ("Open Database License, version 1.0", "ODbL-1.0"),
+)
+FOREIGN_FORMS = ("This work is licensed under the {0}.", "Released under the {0}.", "SPDX-License-Identifier: {1}")
+
+#: Words that tell licences apart, by name or version: a finding needs those of its template.
+NAMING = "mit apache gnu gpl lgpl agpl lesser affero bsd clause mozilla mpl isc cc cc0 creative commons by sa nc attribution sharealike noncommercial 0 1 2 3 4".split()
+#: Of them, and beyond, those that make another licence of a name.
+MODIFIERS = "clause lesser library affero lgpl agpl sa nc nd sharealike noncommercial noderivatives noncommercialsharealike".split()
+
+
 @dataclass(frozen=True)
 class LicenseScan:
     negatives: int = 2000
@@ -158,6 +193,11 @@ class Classifier:
             for k in (1, 2, 3):
                 held[self.families.index(f)] |= np.isin(self.vocabulary, grams(words_hash(text), k))
         self.only = np.where(held.sum(0) == 1, held.argmax(0), -1)
+        naming, own = words_hash(" ".join(NAMING)), [words_hash(text) for _, text, _ in self.templates]
+        self.naming = [np.unique(h[np.isin(h, naming)]) for h in own]
+        self.modifiers = [np.setdiff1d(words_hash(" ".join(MODIFIERS)), h) for h in own]
+        self.digits = words_hash("1 2 3 4 5 6 7 8 9")
+        self.ends = [h[-1] for h in own]
         self.pair_of = [np.isin(self.vocabulary, pairs) for _, _, pairs in self.templates]
 
     def known_of(self, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,6 +243,27 @@ class Classifier:
         z[~some] = np.eye(z.shape[1])[-1]
         return z
 
+    def consistent(self, h: np.ndarray, t: int, a: int, b: int, other: np.ndarray) -> bool:
+        """Whether the words a to b tell that licence of all others by which the template ``t`` names; words where ``other`` are another's."""
+        own = h[a:b]
+        if not np.isin(self.naming[t], own).all() or np.isin(own[~other[a:b]], self.modifiers[t]).any():
+            return False
+        # a version that goes on: 2.1 is not 2
+        return not (b < len(h) and own[-1] == self.ends[t] and own[-1] in self.digits and h[b] in self.digits and not other[b])
+
+    def plausible(self, h: np.ndarray, families: list[int]) -> list[int]:
+        """Those of the families that the unit's telling words allow."""
+        pairs = grams(h, 2)
+
+        def told(t: int) -> bool:
+            """By the template's names, or if it has none, by half of the word pairs that confirm it."""
+            return bool(np.isin(self.naming[t], h).all()) if len(self.naming[t]) else float(np.isin(self.templates[t][2], pairs).mean()) >= self.params.cover / 2
+
+        able = [[t for t, (f, _, _) in enumerate(self.templates) if f == self.families[k] and told(t)] for k in families]
+        strange = [m for m in words_hash(" ".join(MODIFIERS)) if m in h]
+        strange = [m for m in strange if not any(m in self.naming[t] for own in able for t in own)]
+        return [k for k, own in zip(families, able) if any(not np.isin(strange, self.modifiers[t]).any() for t in own)]
+
     def families_of(self, p: np.ndarray) -> list[int]:
         """The families that a unit of these probabilities names.
 
@@ -225,7 +286,7 @@ class Classifier:
         while len(h):
             p = self.judge(h, np.array([0]), np.array([len(h)]))[0]
             hits = [(k, *self.known_of(h, k)) for k in (1, 2, 3)]
-            new = [f for f in self.families_of(p) if f not in out and (not out or any((self.only[which] == f).any() for _, _, which in hits))]
+            new = [f for f in self.plausible(h, self.families_of(p)) if f not in out and (not out or any((self.only[which] == f).any() for _, _, which in hits))]
             if not new:
                 break
             out |= {f: float(p[f]) for f in new}
@@ -238,11 +299,11 @@ class Classifier:
             h = h[keep]
         return list(out.items())
 
-    def best_template(self, h: np.ndarray, family: int) -> tuple[str, float]:
-        """The template of the family that the unit covers most, and how much of it."""
-        pairs = np.unique(grams(h, 2 if len(h) > 1 else 1))
-        cover, text = max((float(np.isin(t, pairs).mean()), text) for f, text, t in self.templates if f == self.families[family])
-        return text, cover
+    def best_template(self, h: np.ndarray, family: int) -> tuple[str, float, bool]:
+        """The template of the family that the unit covers most, how much of it, and whether it confirms the family."""
+        pairs, none = np.unique(grams(h, 2 if len(h) > 1 else 1)), np.zeros(len(h), bool)
+        cover, text, t = max((float(np.isin(own, pairs).mean()), text, t) for t, (f, text, own) in enumerate(self.templates) if f == self.families[family])
+        return text, cover, cover >= self.params.cover and self.consistent(h, t, 0, len(h), none)
 
     def statements(self, h: np.ndarray, paragraph: np.ndarray) -> list[tuple[int, int, int, float, float]]:
         """Template, first and last word (exclusive), probability and cover of each statement.
@@ -278,6 +339,12 @@ class Classifier:
         first, last = np.array([hit[0] for *_, hit in found]), np.array([hit[-1] + 2 for *_, hit in found])
         p = self.judge(h, first, last)
         out, claimed = [], {}
+        # words of statements that are whole, by family: they are not held against another licence beside them
+        whole = {f: np.zeros(len(h), bool) for f in range(len(self.families))}
+        for t, m, hit in found:
+            if len(hit) == m:
+                for x in hit:
+                    whole[self.families.index(self.templates[t][0])][x : x + 2] = True
         order = sorted(range(len(found)), key=lambda i: (-len(found[i][2]), found[i][1], int(last[i] - first[i]), int(first[i]), found[i][0]))
         for i in order:
             t, m, hit = found[i]
@@ -285,7 +352,8 @@ class Classifier:
             taken = [claimed[x] for x in hit if x in claimed]
             if 2 * len(taken) > len(hit) and (len(taken) == len(hit) or len(hit) < m or family in taken):
                 continue
-            if family in self.families_of(p[i]):
+            others = np.any([w for f, w in whole.items() if f != family], axis=0)
+            if family in self.families_of(p[i]) and self.consistent(h, t, int(first[i]), int(last[i]), others):
                 claimed.update((x, family) for x in hit if x not in claimed)
                 out.append((t, int(first[i]), int(last[i]), float(p[i][family]), len(hit) / m))
         return out
@@ -317,71 +385,87 @@ def _densest(key: list[int], pos: list[int], pair: list[int], need: int, reach:
             return out
 
 
-def train(negatives: list[str], p: LicenseScan = LicenseScan()) -> Classifier:
-    """Fits on the templates, whole and damaged, the look-alikes and ``negatives``."""
+def _units(templates: list[tuple[str, str, np.ndarray]], families: list[str], kept: list[np.ndarray], filler: np.ndarray, p: LicenseScan) -> list[tuple[np.ndarray, int, int]]:
+    """(words, class, number of the statement that they stem from, -1 for those of the corpus and of loose words)."""
     rng = np.random.default_rng(p.seed)
-    families = list(TEMPLATES)
-    templates = [(f, t, np.unique(grams(words_hash(t), 2 if len(words_hash(t)) > 1 else 1))) for f, ts in TEMPLATES.items() for t in ts]
-    statements = [*(t for _, t, _ in templates), *LOOKALIKES]
-    vocabulary = np.unique(np.concatenate([grams(words_hash(s), k) for s in statements for k in (1, 2, 3)]))
-    model = Classifier(families, vocabulary, np.zeros((len(vocabulary), len(families) + 1)), np.zeros(len(families) + 1), 1.0, templates, p)
-
-    kept = []
-    for line in negatives:
-        h = words_hash(line)[: p.window]
-        pairs = grams(h, 2)
-        if len(h) and not any(np.isin(t, pairs).mean() >= p.cover for _, _, t in templates):
-            kept.append(h)
-    filler = np.concatenate(kept) if kept else words_hash(" ".join(LOOKALIKES))
-    units, labels = [], []
-    for f, text, _ in templates:
+    unknown, out = len(families), []
+    said = [(text, families.index(f)) for f, text, _ in templates]
+    said += [(form.format(*one), unknown) for one in FOREIGN for form in FOREIGN_FORMS]
+    for number, (text, label) in enumerate(said):
         h = words_hash(text)
-        for k in range(p.copies):
-            part = h if k == 0 else h[rng.random(len(h)) > 0.1 * (k % 3)]
+        for k in range(p.copies if label < unknown else p.copies // 3):
+            part = h if k == 0 or label == unknown else h[rng.random(len(h)) > 0.1 * (k % 3)]
             before, after = (rng.choice(filler, rng.integers(0, 12)) if k % 2 else filler[:0] for _ in "ab")
-            units.append(np.concatenate((before, part if len(part) else h, after)))
-            labels.append(families.index(f))
-    for text in LOOKALIKES:
+            out.append((np.concatenate((before, part if len(part) else h, after)), label, number))
+    for number, text in enumerate(LOOKALIKES, len(said)):
         h = words_hash(text)
-        for k in range(p.copies):
-            units.append(np.concatenate((h, rng.choice(filler, k % 12))))
-            labels.append(len(families))
+        out += [(np.concatenate((h, rng.choice(filler, k % 12))), unknown, number) for k in range(p.copies)]
     words = np.concatenate([words_hash(t) for _, t, _ in templates])
     for k in range(10 * p.copies):  # licence words in no order
-        units.append(np.concatenate((rng.choice(words, 1 + k % 4), rng.choice(filler, 4 + k % 20))))
-        labels.append(len(families))
-    units += kept
-    labels += [len(families)] * len(kept)
-    x = np.array([model.features(h) for h in units])
-    y = np.array(labels)
-    test = np.arange(len(y)) % 5 == 4
-    xt, yt = x[~test], y[~test]
-    target = np.eye(len(families) + 1)[yt]
-    importance = (1 / np.bincount(yt, minlength=len(families) + 1).clip(1))[yt][:, None]
+        out.append((np.concatenate((rng.choice(words, 1 + k % 4), rng.choice(filler, 4 + k % 20))), unknown, -1))
+    return out + [(h, unknown, -1) for h in kept]
+
+
+def _fitted(model: Classifier, x: np.ndarray, y: np.ndarray) -> None:
+    """Full-batch gradient descent with momentum, classes weighing alike."""
+    p, classes = model.params, len(model.families) + 1
+    model.weights, model.bias, model.temperature = np.zeros((len(model.vocabulary), classes)), np.zeros(classes), 1.0
+    target = np.eye(classes)[y]
+    importance = (1 / np.bincount(y, minlength=classes).clip(1))[y][:, None]
     importance /= importance.sum()
     vw, vb = np.zeros_like(model.weights), np.zeros_like(model.bias)
     for _ in range(p.steps):
-        g = (model.probabilities(xt) - target) * importance
-        vw = 0.9 * vw - 4.0 * (xt.T @ g + 1e-5 * model.weights)
+        g = (model.probabilities(x) - target) * importance
+        vw = 0.9 * vw - 4.0 * (x.T @ g + 1e-5 * model.weights)
         vb = 0.9 * vb - 1.0 * g.sum(0)
         model.weights += vw
         model.bias += vb
 
+
+def train(negatives: list[str], p: LicenseScan = LicenseScan()) -> Classifier:
+    """Fits on the templates, whole and damaged, foreign licences, look-alikes and ``negatives``."""
+    families = list(TEMPLATES)
+    templates = [(f, t, np.unique(grams(words_hash(t), 2 if len(words_hash(t)) > 1 else 1))) for f, ts in TEMPLATES.items() for t in ts]
+    statements = [*(t for _, t, _ in templates), *LOOKALIKES, *(form.format(*one) for one in FOREIGN for form in FOREIGN_FORMS)]
+    vocabulary = np.unique(np.concatenate([grams(words_hash(s), k) for s in statements for k in (1, 2, 3)]))
+    model = Classifier(families, vocabulary, np.zeros((len(vocabulary), len(families) + 1)), np.zeros(len(families) + 1), 1.0, templates, p)
+    kept = [h for h in map(words_hash, negatives) if len(h) and not any(np.isin(t, grams(h, 2)).mean() >= p.cover for _, _, t in templates)]
+    filler = np.concatenate(kept) if kept else words_hash(" ".join(LOOKALIKES))
+    units = _units(templates, families, kept, filler, p)
+    x, y = np.array([model.features(h) for h, _, _ in units]), np.array([label for _, label, _ in units])
+
+    # the temperature is that of statements unseen as wholes: of each family with three templates or more one, a third
+    # of the foreign licences and look-alikes, and a fifth of the corpus
+    number = np.array([n for _, _, n in units])
+    first = {f: next(i for i, (g, _, _) in enumerate(templates) if g == f) for f in families}
+    away = {first[f] for f, ts in TEMPLATES.items() if len(ts) >= 3}
+    away |= {len(templates) + len(FOREIGN_FORMS) * i + j for i in range(0, len(FOREIGN), 3) for j in range(len(FOREIGN_FORMS))}
+    away |= set(range(len(templates) + len(FOREIGN_FORMS) * len(FOREIGN), int(number.max()) + 1, 3))
+    test = np.isin(number, list(away)) | ((number < 0) & (np.arange(len(number)) % 5 == 4))
+    _fitted(model, x[~test], y[~test])
+
     def loss(temperature: float) -> float:
         model.temperature = temperature
         return -float(np.log(model.probabilities(x[test])[np.arange(test.sum()), y[test]].clip(1e-12)).mean())
 
-    model.temperature = min(np.geomspace(0.2, 5, 25), key=loss)
+    found = min(np.geomspace(0.2, 5, 25), key=loss)
+    _fitted(model, x, y)
+    model.temperature = found
     return model
 
 
-def corpus_lines(docs: DataFrame, n: int, text: str = "text", order: str = "doc_id") -> list[str]:
-    """About n lines, 2n at most: the first and last of documents chosen by their hashed ids."""
+def corpus_lines(docs: DataFrame, n: int, window: int = 48, text: str = "text", order: str = "doc_id") -> list[str]:
+    """At most n windows of up to ``window`` words: of those documents with the least hash of id and text, one line each, at a place given by the hash."""
     total = docs.count()
-    place = F.pmod(F.xxhash64(F.col(order).cast("string"), F.lit(n)), F.lit(1_000_000_000))
-    picked = docs.where(F.col(text).isNotNull() & (place <= int(1e9 * min(1.0, n / max(1, total))))).limit(2 * n)
-    lines = picked.select(F.split(text, "\n").alias("l")).select(F.array(F.substring(F.element_at("l", 1), 1, 2000), F.substring(F.element_at("l", -1), 1, 2000)).alias("l"))
-    return sorted(x for r in lines.collect() for x in r.l)[:: 2]
+    place = F.xxhash64(col(order).cast("string"), col(text), F.lit(n))
+    below = min(2**63 - 1, -(2**63) + (2 * n + 64) * 2**64 // max(1, total))
+    picked = docs.where(col(text).isNotNull()).select(place.alias("h"), col(text).alias("t")).where(F.col("h") <= F.lit(below)).dropDuplicates(["h"])
+    line = F.split("t", "\n")
+    picked = picked.select("h", F.element_at(line, (F.pmod("h", F.size(line)) + 1).cast("int")).alias("t"))
+    words = F.split(F.trim("t"), r"\s+")
+    start = F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.size(words) - window + 1)) + 1
+    picked = picked.select("h", F.array_join(F.slice(words, start.cast("int"), window), " ").alias("t"))
+    return [r.t for r in picked.orderBy("h").limit(n).collect()]
 
 
 #: Words that only mark a comment where a line starts with them.
@@ -418,7 +502,7 @@ def _windows(begins: np.ndarray, keep: np.ndarray, p: LicenseScan) -> tuple[np.n
 
 
 def _mentions(model: Classifier, h: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[tuple]:
-    """(family, first and last word, probability, template, cover) of windows; overlapping ones of a family are one."""
+    """(family, first and last word, probability, template, cover, confirmed) of windows; overlapping ones of a family are one."""
     p = model.judge(h, first, last)
     out: dict[int, list[list]] = {}
     for u in np.flatnonzero(1 - p[:, -1] >= model.params.least).tolist():
@@ -430,7 +514,7 @@ def _mentions(model: Classifier, h: np.ndarray, first: np.ndarray, last: np.ndar
                 one = mine[-1]
                 one[1] = b
                 one[2] = max(one[2], found[2])
-                if found[4] > one[4]:
+                if (found[5], found[4]) > (one[5], one[4]):
                     one[3:] = found[3:]
             else:
                 mine.append(found)
@@ -464,7 +548,7 @@ def scan_licenses(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", te
                 found, claimed = [], np.zeros(len(h), bool)
                 for t, a, b, probability, cover in model.statements(h, paragraph):
                     family, template, _ = model.templates[t]
-                    found.append((family, a, b, probability, template, cover))
+                    found.append((family, a, b, probability, template, cover, True))
                     claimed[a:b] = True
                 # mentions in what is left: first those within lines, then those across them
                 for across in (False, True):
@@ -475,14 +559,14 @@ def scan_licenses(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", te
                     for f, a, b, *rest in _mentions(model, h, first, last):
                         found.append((model.families[f], a, b, *rest))
                         claimed[a:b] = True
-                for family, a, b, probability, template, cover in sorted(found, key=lambda x: (x[1], x[2], x[0])):
+                for family, a, b, probability, template, cover, sure in sorted(found, key=lambda x: (x[1], x[2], x[0])):
                     d = int(doc[a])
                     zero = int(w.bounds[d])
-                    rows.append((ids[w.first + d].as_py(), int(line[a]), family, probability, template, cover, cover >= p.cover, int(words[a]) - zero, int(words[b - 1]) - zero))
+                    rows.append((ids[w.first + d].as_py(), int(line[a]), family, probability, template, cover, bool(sure), int(words[a]) - zero, int(words[b - 1]) - zero))
             if rows:
                 types = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string(), pa.float64(), pa.bool_(), pa.int64(), pa.int64()]
                 names = ["doc_id", "line", "family", "probability", "template", "cover", "confirmed", "first_word", "last_word"]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     kinds = "doc_id long, line long, family string, probability double, template string, cover double, confirmed boolean, first_word long, last_word long"
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, kinds)
+    return docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text")).mapInArrow(run, kinds)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .names import col, ddl, free_name
+from .names import at, col, free_name, map_rows
 
 PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, DATA_PID, NULL_PID = 0, 0x1000, 0x100, 0x1FFF
@@ -250,18 +250,16 @@ def add_media(docs: DataFrame, text: str = "text", media: str = "media") -> Data
     It is called ``media``, with underscores before it where ``docs`` has such a
     column.  Null counts as empty.
     """
-    media = free_name(docs, media)
-    kinds = f"{ddl(docs)}, `{media}` binary"
+    place = at(docs, text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                texts = part.column(part.schema.get_field_index(text))
-                made = pa.array([mux(padded((t or "").encode())) for t in texts.to_pylist()], pa.binary())
-                yield pa.record_batch([*part.columns, made], [*part.schema.names, media])
+                made = pa.array([mux(padded((t or "").encode())) for t in part.column(place).to_pylist()], pa.binary())
+                yield pa.record_batch([*part.columns, made], [*part.schema.names, "added"])
 
-    return docs.mapInArrow(run, kinds)
+    return map_rows(docs, run, free_name(docs, media), "binary")
 
 
 _READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -270,22 +268,21 @@ _READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes
 def media_features(docs: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Reads the stored streams: ``keep`` and payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, units.
 
+    Where ``keep`` has such a name, the read one has underscores before it.
     ``units`` has pts, random_access, packet and bytes of every access unit.  A
     null stream gives nulls; a damaged one gives what can be read of it, with
     its errors counted in ``feature``.
     """
-    kept = docs.select(*map(col, keep))
     read = [x.split()[0] for x in _READ.split(", ")] + ["units"]
-    if {k.lower() for k in keep} & set(read):
-        raise ValueError(f"columns to keep must not be called {', '.join(read)}")
-    kinds = ddl(kept) + ", " + _READ + ", units array<struct<pts:long,random_access:boolean,packet:int,bytes:int>>"
+    kept = docs.select(*map(col, keep), col(media).alias("media")).toDF(*[f"c{i}" for i in range(len(keep))], "media")
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in kept.schema[:-1])
+    kinds += _READ + ", units array<struct<pts:long,random_access:boolean,packet:int,bytes:int>>"
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("pts", pa.int64()), ("random_access", pa.bool_()), ("packet", pa.int32()), ("bytes", pa.int32())]))]
-    names = [*keep, *read]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for value in batch.column(batch.schema.get_field_index(media)):
+            for value in batch.column(len(keep)):
                 if (data := value.as_py()) is None:
                     rows.append((None,) * len(types))
                     continue
@@ -294,9 +291,15 @@ def media_features(docs: DataFrame, media: str = "media", keep: tuple[str, ...]
                 units = [{"pts": u.pts, "random_access": u.random_access, "packet": u.packet, "bytes": len(u.data)} for u in s.units]
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), features(s), units))
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
-            yield pa.record_batch([*(batch.column(batch.schema.get_field_index(k)) for k in keep), *columns], names)
+            yield pa.record_batch([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], *read])
 
-    return docs.select(*map(col, dict.fromkeys((*keep, media)))).mapInArrow(run, kinds)
+    return kept.mapInArrow(run, kinds).toDF(*keep, *[_free(keep, x) for x in read])
+
+
+def _free(have: tuple[str, ...], name: str) -> str:
+    while name.lower() in {h.lower() for h in have}:
+        name = "_" + name
+    return name
 
 
 def sizes(text: str = "text"):

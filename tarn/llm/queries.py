@@ -32,7 +32,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     p = license_scan.LicenseScan()
-    model = license_scan.train(license_scan.corpus_lines(docs, p.negatives), p)
+    model = license_scan.train(license_scan.corpus_lines(docs, p.negatives, p.window), p)
     return license_scan.scan_licenses(docs, model)
 
 

@@ -227,6 +227,141 @@ def test_every_statement_of_a_line(spark):
     assert {r.family for r in got if r.doc_id == 4} == {"MIT", "Apache-2.0"}
 
 
+FOREIGN = [
+    "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+    "SPDX-License-Identifier: AGPL-3.0-only",
+    "Licensed under the Artistic License 2.0",
+    "Licensed under the Eclipse Public License 2.0",
+    "GNU Affero General Public License version 3",
+    "This work is licensed under the Common Public Attribution License, version 1.0.",
+    "Licensed under CC BY-ND 4.0.",
+    "Licensed under the Apache License, Version 1.1.",
+    "SPDX-License-Identifier: LGPL-2.1-only",
+    "Released under the 2-Clause BSD License.",
+]
+
+
+def test_foreign_licenses_and_variants(spark):
+    """Statements of other licences, some of which training never saw, are unknown; variants of the families' are right."""
+    variants = [("licensed under the GNU General Public License, version 2 or later", "GPL-2.0"), ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), ("Licensed under the Apache License, Version 2.0", "Apache-2.0"), ("released under the terms of the MIT license", "MIT"), ("It is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0")]
+    rows = [(i, t) for i, t in enumerate([*FOREIGN, *(t for t, _ in variants)])]
+    model = license_scan.train(["Some prose of many words", "lorem ipsum dolor sit amet", "Another plain line"])
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert not [r for r in got if r.doc_id < len(FOREIGN)], got
+    assert {(r.doc_id, r.family, r.confirmed) for r in got} == {(len(FOREIGN) + i, f, True) for i, (_, f) in enumerate(variants)}
+
+
+def test_license_scores_against_dictionaries():
+    """Probabilities of windows, from plain n-gram counts; a unit without known words is unknown."""
+    model = license_scan.train(["Some prose of many words", "lorem ipsum dolor sit amet"])
+    weight = dict(zip(model.vocabulary.tolist(), model.weights))
+    text = "Some prose. Released under the MIT License, or the GNU General Public License, version 2; all rights reserved here and there " * 3 + "q q q q"
+    words = plain_words(text)
+    h = license_scan.words_hash(text)
+    first = np.array([0, 3, 10, 20, len(words) - 3])
+    last = np.array([48, 9, 30, len(words), len(words)])
+    got = model.judge(h, first, last)
+    for a, b, p in zip(first, last, got):
+        z, some = np.zeros(len(model.families) + 1), False
+        for k in (1, 2, 3):
+            for i in range(a, b - k + 1):
+                (g,) = license_scan.grams(license_scan.words_hash(" ".join(words[i : i + k])), k).tolist()
+                if g in weight:
+                    z, some = z + weight[g], True
+        z = np.exp((z / np.sqrt(b - a) + model.bias) / model.temperature)
+        want = z / z.sum() if some else np.eye(len(z))[-1]
+        assert np.allclose(p, want)
+
+
+def test_license_negatives(spark):
+    """A bounded sample of whole windows that doesn't depend on how the rows lie; nulls, ties and repeated rows."""
+    rows = [(i % 90, "\n".join(f"line {j} of {i} " + "w " * (j * 40) for j in range(4))) for i in range(300)] + [(None, None), (None, ""), (5, "same"), (5, "same")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = license_scan.corpus_lines(docs, 40)
+    assert len(got) == 40 and got == license_scan.corpus_lines(docs.repartition(7), 40)
+    lines = [x for _, t in rows for x in (t or "").split("\n")]
+    assert all(len(x.split()) <= 48 and any(x in y for y in lines) for x in got)
+    assert license_scan.corpus_lines(docs.limit(0), 40) == []
+
+
+def test_license_scan_edges(spark, tmp_path):
+    """The query over an empty table, and over clashing columns, null ids, ties and very long texts."""
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.op3_license_scan(spark, str(tmp_path)).count() == 0
+    long = "lorem ipsum dolor " * 60_000 + "Released under the MIT License. " + "sit amet " * 60_000
+    docs = spark.createDataFrame([(None, long, "x", "y"), (None, long, "x", "y"), (1, None, None, None)], "doc_id long, text string, family string, `first.word` string")
+    model = license_scan.train(["lorem ipsum dolor sit amet"])
+    got = license_scan.scan_licenses(docs, model).collect()
+    assert [(r.doc_id, r.family, r.first_word) for r in got] == [(None, "MIT", 180_000)] * 2
+
+
+def test_long_benchmark_items(spark, monkeypatch):
+    """Linear time for repeated words, items cut at many blocks that are loaded in turn, null and repeated ids."""
+    import time
+
+    words = [f"w{i}" for i in range(500)]
+    items = [(i % 3 if i % 4 else None, " ".join(words[i : i + 60])) for i in range(0, 440, 20)] + [(7, "a " * 32_000), (7, "a " * 50)]
+    texts = ["x " + " ".join(words[33:48]) + " y " + " ".join(words[100:300]), "a " * 32_000, "a " * 9, None, " ".join(words)]
+    docs = spark.createDataFrame([(i, t, None, 1) for i, t in enumerate(texts)], "doc_id long, text string, _hits string, `a.b` int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    builder = decontam._Builder([("7", [b"a"] * 32_000)], 10)
+    automaton = decontam.SuffixAutomaton(builder.arrays())
+    (w,) = textvec.words_of(pa.array([texts[1]]))
+    began = time.perf_counter()
+    assert automaton.hits(w) == {0: ([[0, 32_000]], {"7"})} and time.perf_counter() - began < 2
+    monkeypatch.setattr(decontam, "LOADED_BYTES", 1)
+    for limit in (250_000, 100):
+        out = decontam.find_contamination(docs, bench, limits=decontam.Limits(max_block_words=limit))
+        assert out.columns == [*docs.columns, "__hits"]
+        got = {r.doc_id: r for r in out.select("doc_id", "__hits", decontam.hit_words(out["__hits.spans"]).alias("n")).collect()}
+        named = [("null" if i is None else i, t) for i, t in items if len(t) < 1000 or limit]
+        for i, t in enumerate(texts):
+            if i != 1:
+                n, hit, found = brute_hits(t, [(k, x if len(x) < 40_000 else "a " * 60) for k, x in named])
+                assert (got[i]["__hits"].n_words, got[i].n, sorted(set(got[i]["__hits"]["items"]))) == (n, hit, found)
+        assert got[1].n == 32_000 and set(got[1]["__hits"]["items"]) == {"7"}
+        left = decontam.decontaminate(docs, bench, limits=decontam.Limits(max_block_words=limit))
+        assert left.columns == docs.columns
+
+
+def test_language_of_a_table_against_plain_code(spark):
+    """Predictions decoded from plain n-gram counts and the trained weights; nulls, ties, repeated rows and clashing columns."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("doc_id", "text", "lang", "lang as _lang", "1 as `x.y`")
+    docs = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(None, None, None, "z", 1), (None, "\u4f60\u597d " * 40_000, None, "z", 1)], docs.schema))
+    model = langid.fit(docs.where(~langid.held_out()))
+    out = langid.identify(docs, model)
+    assert out.columns == [*docs.columns, "__lang"]
+    again = langid.fit(docs.repartition(5).where(~langid.held_out()))
+    assert np.array_equal(model.weights, again.weights)
+    for r in out.collect():
+        text = r.text or ""
+        raw = bytearray(text.encode())
+        for i, c in enumerate(raw):
+            if 65 <= c <= 90:
+                raw[i] = c + 32
+        for i in range(1, len(raw)):
+            if raw[i - 1] == 0xC3 and 0x80 <= raw[i] <= 0x9E and raw[i] != 0x97:
+                raw[i] += 32
+        raw = bytes(32 if c < 97 or 122 < c < 128 else c for c in raw)
+        if not any(ch.isalpha() for ch in text):
+            assert r["__lang"].lang == "und" and r["__lang"].score == 0
+            continue
+        x = np.zeros(model.params.dims)
+        seen = {}
+        for k in (2, 3):
+            for i in range(len(raw) - k + 1):
+                seen[raw[i : i + k]] = seen.get(raw[i : i + k], 0) + 1
+        for g, n in seen.items():
+            value = len(g)
+            for c in g:
+                value = (value << 8) | c
+            x[int(langid.mix(np.array([value], np.uint64))[0] % np.uint64(model.params.dims))] += n
+        x = np.sqrt(x) / np.linalg.norm(np.sqrt(x))
+        margin = [float(x @ model.weights[:, b] + model.bias[b]) for b in range(model.code.shape[1])]
+        loss = [sum(np.logaddexp(0, -c * m) for c, m in zip(row, margin)) / len(margin) for row in model.code]
+        assert r["__lang"].lang == model.languages[int(np.argmin(loss))] and abs(r["__lang"].distance - min(loss)) < 1e-9
+
+
 def check_packing(rows, size=2048):
     bins = {}
     for r in rows:
