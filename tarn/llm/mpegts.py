@@ -71,16 +71,21 @@ def _stamp(pts: int) -> bytes:
     return bytes([0x21 | pts >> 29 & 0x0E, pts >> 22 & 0xFF, pts >> 14 & 0xFE | 1, pts >> 7 & 0xFF, pts << 1 & 0xFE | 1])
 
 
+def _clock(ticks: int) -> bytes:
+    base = ticks & ((1 << 33) - 1)
+    return (base << 15 | 0x3F << 9).to_bytes(6, "big")
+
+
 def mux(payload: bytes, unit: int = 16 * 1024, ticks: int = 3600, gop: int = 8) -> bytes:
     """The payload as a transport stream; access units of ``unit`` bytes, ``ticks`` of 1/90000 s apart."""
     out, counter = [_tables()], 0
     for n, a in enumerate(range(0, len(payload), unit)):
         data = payload[a : a + unit]
         pes = b"\x00\x00\x01" + bytes([PRIVATE_STREAM_1]) + (len(data) + 8).to_bytes(2, "big") + b"\x84\x80\x05" + _stamp(n * ticks) + data
-        # the first packet has an adaptation field, with the random-access flag where due
-        first = min(len(pes), PACKET - 6)
-        pad = PACKET - 6 - first
-        head = bytes([SYNC, 0x40 | DATA_PID >> 8, DATA_PID & 0xFF, 0x30 | counter, 1 + pad, 0x40 if n % gop == 0 else 0])
+        # the first packet has an adaptation field with the clock, and the random-access flag where due
+        first = min(len(pes), PACKET - 12)
+        pad = PACKET - 12 - first
+        head = bytes([SYNC, 0x40 | DATA_PID >> 8, DATA_PID & 0xFF, 0x30 | counter, 7 + pad, 0x50 if n % gop == 0 else 0x10]) + _clock(n * ticks)
         out.append(head + b"\xff" * pad + pes[:first])
         counter = (counter + 1) & 15
         rest = np.frombuffer(pes, np.uint8)[first:]
@@ -123,6 +128,7 @@ class Stream:
     programs: dict[int, int] = field(default_factory=dict)  # program: PID of its map
     streams: dict[int, int] = field(default_factory=dict)  # PID: stream type
     units: list[Unit] = field(default_factory=list)
+    clocks: list[tuple[int, int]] = field(default_factory=list)  # packet, program clock in 1/27000000 s
 
     @property
     def payload(self) -> bytes:
@@ -156,6 +162,7 @@ def demux(data: bytes) -> Stream:
     pids = ((packets[:, 1].astype(np.int32) & 0x1F) << 8) | packets[:, 2]
     last: dict[int, tuple[int, int]] = {}
     open_: dict[int, tuple[int, bool, list[bytes]]] = {}
+    tables: dict[int, bytes] = {}  # what was read of a table's current section
 
     def close(pid: int) -> None:
         if (was := open_.pop(pid, None)) is None:
@@ -173,6 +180,36 @@ def demux(data: bytes) -> Stream:
             pts = (p[0] >> 1 & 7) << 30 | p[1] << 22 | (p[2] >> 1) << 15 | p[3] << 7 | p[4] >> 1
         out.units.append(Unit(pid, pts, access, packet, pes[begin:stop], len(pes) >= stop))
 
+    def read_section(section: bytes) -> None:
+        if len(section) < 12 or section_crc(section):
+            out.crc_errors += 1
+        elif section[0] == 0:
+            for k in range(8, len(section) - 4, 4):
+                if number := int.from_bytes(section[k : k + 2], "big"):
+                    out.programs[number] = int.from_bytes(section[k + 2 : k + 4], "big") & 0x1FFF
+        elif section[0] == 2:
+            k = 12 + (int.from_bytes(section[10:12], "big") & 0xFFF)
+            while k + 5 <= len(section) - 4:
+                out.streams[int.from_bytes(section[k + 1 : k + 3], "big") & 0x1FFF] = section[k]
+                k += 5 + (int.from_bytes(section[k + 3 : k + 5], "big") & 0xFFF)
+
+    def read_table(pid: int, body: bytes, starts: bool) -> None:
+        if starts:
+            before = body[1 : 1 + body[0]]  # the end of the section that the packets before began
+            if pid in tables and before:
+                read_table(pid, before, False)
+            tables[pid], body = b"", body[1 + body[0] :]
+        if pid not in tables:
+            return
+        data = tables.pop(pid) + body
+        while data and data[0] != 0xFF:
+            size = 3 + (int.from_bytes(data[1:3], "big") & 0xFFF)
+            if len(data) < max(size, 3):
+                tables[pid] = data
+                return
+            read_section(data[:size])
+            data = data[size:]
+
     for i, pid in enumerate(pids.tolist()):
         at = i * PACKET
         b1, b3 = raw[at + 1], raw[at + 3]
@@ -187,6 +224,9 @@ def demux(data: bytes) -> Stream:
             start = 5 + n
             if n:
                 access, jump = bool(raw[at + 5] & 0x40), bool(raw[at + 5] & 0x80)
+                if raw[at + 5] & 0x10 and n >= 7:
+                    clock = int.from_bytes(raw[at + 6 : at + 12], "big")
+                    out.clocks.append((i, (clock >> 15) * 300 + (clock & 0x1FF)))
         if not b3 & 0x10 or start >= PACKET:
             continue
         counter = b3 & 15
@@ -200,20 +240,9 @@ def demux(data: bytes) -> Stream:
         last[pid] = (counter, at)
         body = raw[at + start : at + PACKET]
         if pid == PAT_PID or pid in out.programs.values():
-            if b1 & 0x40 and len(body) > 3:
-                section = body[1 + body[0] :]
-                section = section[: 3 + (int.from_bytes(section[1:3], "big") & 0xFFF)]
-                if len(section) < 12 or section_crc(section):
-                    out.crc_errors += 1
-                elif section[0] == 0:
-                    for k in range(8, len(section) - 4, 4):
-                        if number := int.from_bytes(section[k : k + 2], "big"):
-                            out.programs[number] = int.from_bytes(section[k + 2 : k + 4], "big") & 0x1FFF
-                elif section[0] == 2:
-                    k = 12 + (int.from_bytes(section[10:12], "big") & 0xFFF)
-                    while k + 5 <= len(section) - 4:
-                        out.streams[int.from_bytes(section[k + 1 : k + 3], "big") & 0x1FFF] = section[k]
-                        k += 5 + (int.from_bytes(section[k + 3 : k + 5], "big") & 0xFFF)
+            if jump or (before is not None and counter != (before[0] + 1) & 15):
+                tables.pop(pid, None)  # what is missing broke the section
+            read_table(pid, body, bool(b1 & 0x40))
         elif pid in out.streams:
             if b1 & 0x40:
                 close(pid)
@@ -222,6 +251,7 @@ def demux(data: bytes) -> Stream:
                 open_[pid][2].append(body)
     for pid in list(open_):
         close(pid)
+    out.crc_errors += len(tables)  # sections without their end
     return out
 
 
@@ -231,7 +261,7 @@ def features(s: Stream) -> str:
     access = [u.packet for u in s.units if u.random_access]
     return (
         f"programs={len(s.programs)};streams={','.join(f'{p}:{t}' for p, t in sorted(s.streams.items()))};packets={s.packets};units={len(s.units)};"
-        f"pts={min(stamps, default=0)}-{max(stamps, default=0)};access={','.join(map(str, access))};"
+        f"pts={min(stamps, default=0)}-{max(stamps, default=0)};clocks={len(s.clocks)};access={','.join(map(str, access))};"
         f"errors={s.continuity_errors + s.crc_errors + s.transport_errors + s.lost_bytes};incomplete={sum(not u.complete for u in s.units)}"
     )
 

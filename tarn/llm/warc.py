@@ -19,21 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import fresh_path, written
+from .lookup import filesystem
+from .names import col
+from .skew import dealt_join
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 _READ = 1 << 20
 
-# --------------------------------------------------------------------------- files
-
-
-def _filesystem(uri: str):
-    """The Arrow file system and path of a URI (file, hdfs, s3, gs) or local path."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if ":/" in uri else "file://" + uri)
-
-
 # --------------------------------------------------------------------------- writing
 
 
@@ -60,8 +53,8 @@ def write_warc(pages: DataFrame, folder: str | None = None, least: int = 1000, p
     The payload is the html in UTF-8, null counts as empty.  Of the rows whose
     payloads of ``least`` bytes or more are equal, those with the largest
     page_id are response, the others revisit it (one with a null page_id
-    too, unless all ids are null; then all are response).  Smaller payloads are
-    always response.  A null url becomes ``urn:tarn:unknown``.  An empty table
+    too, unless all ids are null; then all are response).  An id that is no
+    integer counts as null.  Smaller payloads are always response.  A null url becomes ``urn:tarn:unknown``.  An empty table
     gives no archive.
 
     A task writes files under names that no other attempt uses, and only the
@@ -70,12 +63,12 @@ def write_warc(pages: DataFrame, folder: str | None = None, least: int = 1000, p
     """
     spark = pages.sparkSession
     folder = folder or fresh_path(spark, "warc")
-    payload = F.coalesce(F.col(html), F.lit(""))
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("html"), F.octet_length(payload).cast("long").alias("size"), F.sha1(payload).alias("digest"))
-    copies = rows.where(F.col("size") >= least).groupBy("digest", "size").agg(F.count("*").alias("n"), F.max("page_id").alias("first")).where("n > 1").select("digest", "size", "first")
+    payload = F.coalesce(col(html), F.lit(""))
+    rows = pages.select(col(page_id).try_cast("long").alias("page_id"), col(url).alias("url"), payload.alias("html"), F.octet_length(payload).cast("long").alias("size"), F.sha1(payload).alias("digest"))
+    copies = rows.where(F.col("size") >= least).groupBy("digest", "size").agg(F.count("*").alias("n"), F.max("page_id").alias("first")).where("n > 1")
     # written, so that the planner knows its size and broadcasts it only if it is small
     copies = written(copies, "copies")
-    rows = rows.join(copies, ["digest", "size"], "left").withColumn("refers_to", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
+    rows = dealt_join(rows, copies, ["digest", "size"], "n", ["page_id", "url"], pages.count(), "left").withColumn("refers_to", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
     rows = rows.select("page_id", "url", "digest", "size", "refers_to", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +83,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, least: int = 1000, p
                 for r in batch.slice(a, 64).to_pylist():
                     if out is None:
                         path, size, n = f"{folder}/part-{uuid.uuid4().hex}.warc.gz", 0, 0
-                        system, place = _filesystem(path)
+                        system, place = filesystem(path)
                         system.create_dir(place.rsplit("/", 1)[0], recursive=True)
                         out = system.open_output_stream(place, compression=None)
                     uri = quote(r["url"], safe="!#$%&'()*+,/:;=?@[]~") if r["url"] is not None else "urn:tarn:unknown"
@@ -111,56 +104,64 @@ def write_warc(pages: DataFrame, folder: str | None = None, least: int = 1000, p
 
 
 class _Source:
-    """A file read forward in pieces, from ``start``."""
+    """A file read forward in pieces, from ``start``; what was read and not yet skipped is ``data[off:]``."""
 
     def __init__(self, uri: str, start: int) -> None:
-        system, place = _filesystem(uri)
+        system, place = filesystem(uri)
         self.file = system.open_input_file(place)
-        self.size = self.file.size()
         self.file.seek(start)
-        self.at = start  # where ``data`` begins
-        self.data = b""
+        self.at = start  # the place in the file of data[off]
+        self.data, self.off = b"", 0
+
+    def __len__(self) -> int:
+        return len(self.data) - self.off
 
     def more(self, n: int = _READ) -> bool:
         got = self.file.read(n)
-        self.data += got
+        self.data, self.off = self.data[self.off :] + got, 0
         return bool(got)
 
     def skip(self, n: int) -> None:
-        self.data = self.data[n:]
+        self.off += n
         self.at += n
 
+    def starts(self, mark: bytes) -> bool:
+        return self.data.startswith(mark, self.off)
+
     def close(self) -> None:
         self.file.close()
 
 
 def _header_at(source: _Source, i: int) -> bool:
-    """Whether a gzip member whose text starts like a WARC header begins at ``source.data[i]``."""
-    while len(source.data) < i + 4096 and source.more():
+    """Whether a gzip member whose text starts like a WARC header begins ``i`` bytes ahead."""
+    while len(source) < i + 4096 and source.more():
         pass
     unpacker = zlib.decompressobj(31)
     try:
-        head = unpacker.decompress(source.data[i : i + 4096], 64)
+        head = unpacker.decompress(source.data[source.off + i : source.off + i + 4096], 64)
     except zlib.error:
         return False
     return head.startswith(VERSION)
 
 
 def _member(source: _Source) -> bytes | None:
-    """The text of the member at the start of ``source.data``, which it skips; None if it is broken."""
+    """The text of the member that begins here, which it skips; None if it is broken."""
     unpacker = zlib.decompressobj(31)
     parts, used = [], 0
-    if not source.data:
+    if not len(source):
         source.more()
     while True:
+        view = memoryview(source.data)[source.off + used :]
         try:
-            parts.append(unpacker.decompress(source.data[used:]))
+            # in slices, so that bytes after the member are not copied over and over
+            for a in range(0, len(view), 1 << 16):
+                parts.append(unpacker.decompress(view[a : a + (1 << 16)]))
+                if unpacker.eof:
+                    source.skip(used + min(len(view), a + (1 << 16)) - len(unpacker.unused_data))
+                    return b"".join(parts)
         except zlib.error:
             return None
-        if unpacker.eof:
-            source.skip(len(source.data) - len(unpacker.unused_data))
-            return b"".join(parts)
-        used = len(source.data)
+        used = len(source)
         if not source.more():
             return None
 
@@ -177,10 +178,9 @@ def read_range(uri: str, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     try:
         while source.at < end:
             if not sure:
-                i = source.data.find(MAGIC)
+                i = source.data.find(MAGIC, source.off) - source.off
                 if i < 0:
-                    keep = len(MAGIC) - 1
-                    source.skip(max(0, len(source.data) - keep))
+                    source.skip(max(0, len(source) - (len(MAGIC) - 1)))
                     if not source.more():
                         return
                     continue
@@ -190,15 +190,17 @@ def read_range(uri: str, start: int, end: int) -> Iterator[tuple[int, bytes]]:
                 source.skip(i)
                 if source.at >= end:
                     return
-            at, before = source.at, source.data
-            if not before and not source.more():
+            at = source.at
+            if not len(source) and not source.more():
                 return
-            whole = source.data[:3]
-            text = _member(source) if whole == MAGIC else None
-            follows = text is not None and (source.data[:3] == MAGIC or len(source.data) < 3)
-            if follows and len(source.data) < 3:
-                source.more()
-                follows = not source.data or source.data[:3] == MAGIC
+            while len(source) < len(MAGIC) and source.more():
+                pass
+            text = _member(source) if source.starts(MAGIC) else None
+            follows = False
+            if text is not None:
+                while len(source) < len(MAGIC) and source.more():
+                    pass
+                follows = not len(source) or source.starts(MAGIC)
             if text is None or not text.startswith(VERSION) or not (follows or sure):
                 source.close()
                 source = _Source(uri, at + 1)
@@ -210,8 +212,28 @@ def read_range(uri: str, start: int, end: int) -> Iterator[tuple[int, bytes]]:
         source.close()
 
 
+def _number(text: str | None) -> int | None:
+    """A length as archives write it; None if it is none."""
+    return int(text) if text and text.isascii() and text.isdigit() and len(text) < 19 else None
+
+
+def sha1_of(label: str) -> str | None:
+    """The hex SHA-1 of a digest label, whose value is hex or base 32, in either case; None if it is neither."""
+    name, _, value = label.partition(":")
+    if name.strip().lower() not in ("sha1", "sha-1"):
+        return None
+    value = value.strip()
+    try:
+        return bytes.fromhex(value).hex() if len(value) == 40 else base64.b32decode(value.upper()).hex() if len(value) == 32 else None
+    except ValueError:
+        return None
+
+
 def parse_record(text: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
-    """The record's fields, the HTTP head's fields (names in lower case) and the payload."""
+    """The record's fields, the HTTP head's fields (names in lower case) and the payload.
+
+    Without a readable Content-Length the block is all that follows the header.
+    """
 
     def fields(head: bytes) -> dict[str, str]:
         lines = head.decode("utf-8", "replace").split("\r\n")[1:]
@@ -219,7 +241,8 @@ def parse_record(text: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 
     head, _, rest = text.partition(b"\r\n\r\n")
     warc = fields(head)
-    block = rest[: int(warc.get("content-length", 0))]
+    length = _number(warc.get("content-length"))
+    block = rest[:length] if length is not None else rest.removesuffix(b"\r\n\r\n")
     if "application/http" not in warc.get("content-type", ""):
         return warc, {}, block
     head, _, payload = block.partition(b"\r\n\r\n")
@@ -235,6 +258,8 @@ def read_warc(spark: SparkSession, archives: DataFrame | str, split_bytes: int =
     ``archives`` is a table (path, bytes) or a folder or glob.  ``content_length``
     is that of the HTTP head, so of the full payload also for revisits, which
     have no payload here (null).  A record that isn't HTTP has its block as payload.
+    A digest that is no SHA-1 in hex or base 32 is null, a length that is no
+    number counts as that of what is there.
     """
     if isinstance(archives, str):
         archives = spark.read.format("binaryFile").load(archives).select("path", F.col("length").alias("bytes"))
@@ -254,9 +279,9 @@ def read_warc(spark: SparkSession, archives: DataFrame | str, split_bytes: int =
                 for at, text in read_range(r["path"], r["start"], r["stop"]):
                     warc, http, payload = parse_record(text)
                     kind = warc.get("warc-type")
-                    digest = warc.get("warc-payload-digest", "")
-                    digest = base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None
-                    length = int(http["content-length"]) if "content-length" in http else len(payload)
+                    digest = sha1_of(warc.get("warc-payload-digest", ""))
+                    length = _number(http.get("content-length"))
+                    length = len(payload) if length is None else length
                     rows.append((r["path"], at, kind, urn(warc.get("warc-record-id")), warc.get("warc-target-uri"), digest, urn(warc.get("warc-refers-to")), length, None if kind == "revisit" else payload))
                     size += len(payload)
                     if size > 4 << 20:

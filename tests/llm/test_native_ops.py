@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -193,6 +194,37 @@ def test_warc_skips_what_is_broken(spark, tmp_path):
         assert got == ["0", "2", "3", "9"], split
 
 
+def test_warc_of_others(spark, tmp_path):
+    """Digests in hex and lower case, of other kinds and broken; lengths that are no numbers; records beyond the read buffer."""
+    import gzip
+
+    digest = hashlib.sha1(b"x").digest()
+    b32 = base64.b32encode(digest).decode()
+    labels = ["sha1:" + digest.hex(), "sha1:" + b32, "SHA1:" + b32.lower(), "sha1:" + digest.hex().upper(), "sha256:" + "00" * 32, "sha1:zz", "sha1:" + "1" * 32, "", "md5"]
+    lengths = ["{0}", "{0}", "", "many", "-3", "{0}", "9" * 30, "{0}", "{0}"]
+    big = bytes(np.random.default_rng(0).integers(0, 256, 3 << 20, dtype=np.uint8))
+    out = b""
+    for i, (label, length) in enumerate(zip(labels, lengths)):
+        body = b"HTTP/1.1 200 OK\r\nContent-Length: oops\r\n\r\n" + (big if i == 4 else b"payload %d" % i)
+        length = length.format(len(body))
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:{i}>\r\nWARC-Payload-Digest: {label}\r\nContent-Type: application/http\r\nContent-Length: {length}\r\n\r\n".encode()
+        out += gzip.compress(head + body + b"\r\n\r\n")
+    (tmp_path / "x.warc.gz").write_bytes(out)
+    for split in (1 << 20, 1 << 30):
+        rows = {int(r.record_id[6:]): r for r in warc.read_warc(spark, f"file://{tmp_path}", split).collect()}
+        assert len(rows) == len(labels)
+        for i, r in rows.items():
+            assert r.payload == (big if i == 4 else b"payload %d" % i) and r.content_length == len(r.payload)
+            assert r.digest == (digest.hex() if i < 4 else None), i
+
+
+def test_warc_of_any_ids(spark):
+    """Ids that are no integers count as null; columns with clashing and dotted names."""
+    pages = spark.createDataFrame([("1", "u", "A" * 2000, 1), ("x", "u", "A" * 2000, 1), (None, None, None, 2)], "page_id string, url string, html string, `digest.n` int")
+    got = sorted((r.record_type, r.content_length) for r in warc.read_warc(spark, warc.write_warc(pages)).collect())
+    assert got == [("response", 0), ("response", 2000), ("revisit", 2000)]
+
+
 def test_warc_of_a_table(spark):
     pages = [tuple(r) for r in spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "url", "html").collect()]
     got = sorted((tuple(r) for r in queries.op1_warc(spark, SMALL).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str)
@@ -210,6 +242,45 @@ def test_transport_stream(size):
     assert (s.continuity_errors, s.crc_errors, s.lost_bytes) == (0, 0, 0)
 
 
+def table_packets(pid, table_id, number, body):
+    """A section over as many packets as it takes."""
+    length = 5 + len(body) + 4
+    section = bytes([table_id, 0xB0 | length >> 8, length & 0xFF]) + number.to_bytes(2, "big") + b"\xc1\x00\x00" + body
+    data = b"\x00" + section + mpegts.section_crc(section).to_bytes(4, "big")
+    out = b""
+    for i, a in enumerate(range(0, len(data), 184)):
+        out += bytes([0x47, (0x40 if a == 0 else 0) | pid >> 8, pid & 0xFF, 0x10 | i & 15]) + data[a : a + 184].ljust(184, b"\xff")
+    return out
+
+
+def test_transport_stream_tables_over_packets():
+    """Sixty streams in a map of several packets, each with a descriptor; two programs."""
+    entries = b"".join(bytes([6]) + (0xE000 | 0x200 + i).to_bytes(2, "big") + b"\xf0\x06\x05\x04TEST" for i in range(60))
+    pat = table_packets(0, 0, 1, b"".join(n.to_bytes(2, "big") + (0xE000 | 0x1000 + n).to_bytes(2, "big") for n in (1, 2)))
+    maps = table_packets(0x1001, 2, 1, b"\xe1\x00\xf0\x00" + entries) + table_packets(0x1002, 2, 2, b"\xe1\x00\xf0\x00\x1b\xe1\x00\xf0\x00")
+    payload = bytes(range(256)) * 40
+    whole = pat + maps + mpegts.mux(payload)[2 * 188 :]
+    s = mpegts.demux(whole)
+    assert s.programs == {1: 0x1001, 2: 0x1002} and len(s.streams) == 61 and s.streams[0x200 + 59] == 6 and s.streams[0x100] == 0x1B
+    assert s.crc_errors == s.continuity_errors == 0 and s.payload == payload
+    broken = mpegts.demux(whole[: 188 * 2] + whole[188 * 3 :])  # a packet of the map is missing
+    assert broken.continuity_errors >= 1 and 0x200 not in broken.streams and broken.payload == payload
+
+
+def test_transport_stream_clock():
+    s = mpegts.demux(mpegts.mux(bytes(100_000)))
+    assert [c for _, c in s.clocks] == [u.pts * 300 for u in s.units] and [p for p, _ in s.clocks] == [u.packet for u in s.units]
+
+
+def test_media_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a", "m", "f", 3), (2, None, None, None, None)], "doc_id long, text string, media string, feature string, `x.y` int")
+    made = mpegts.add_media(docs)
+    assert made.columns == [*docs.columns, "_media"]
+    read = mpegts.media_features(made, media="_media", keep=("doc_id", "feature", "x.y"))
+    rows = {r.doc_id: r for r in read.collect()}
+    assert rows[1].feature == "f" and rows[1]["x.y"] == 3 and rows[1].payload_bytes == rows[2].payload_bytes == 64 and "packets" in rows[1]["_feature"]
+
+
 def test_transport_stream_damage():
     data = mpegts.mux(bytes(range(256)) * 400)
     lost = mpegts.demux(data[: 188 * 10] + data[188 * 11 :])
