@@ -526,14 +526,14 @@ def scan_licenses(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", te
 
     The words are numbered within the document from 0, ``last_word`` included;
     ``line`` is that of the first one.  Null and empty texts and texts without
-    known words give no row; repeated rows give repeated findings; other columns
-    are not read.
+    known words give no row; repeated rows give repeated findings; ids may be of
+    any type; other columns are not read.
     """
     p = model.params
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = batch.column(0), []
+            of, rows = [], []
             for w in words_of(batch.column(1)):
                 if not len(w.hash):
                     continue
@@ -562,11 +562,13 @@ def scan_licenses(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", te
                 for family, a, b, probability, template, cover, sure in sorted(found, key=lambda x: (x[1], x[2], x[0])):
                     d = int(doc[a])
                     zero = int(w.bounds[d])
-                    rows.append((ids[w.first + d].as_py(), int(line[a]), family, probability, template, cover, bool(sure), int(words[a]) - zero, int(words[b - 1]) - zero))
+                    of.append(w.first + d)
+                    rows.append((int(line[a]), family, probability, template, cover, bool(sure), int(words[a]) - zero, int(words[b - 1]) - zero))
             if rows:
-                types = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string(), pa.float64(), pa.bool_(), pa.int64(), pa.int64()]
+                types = [pa.int64(), pa.string(), pa.float64(), pa.string(), pa.float64(), pa.bool_(), pa.int64(), pa.int64()]
                 names = ["doc_id", "line", "family", "probability", "template", "cover", "confirmed", "first_word", "last_word"]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                yield pa.record_batch([batch.column(0).take(pa.array(of)), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names)
 
-    kinds = "doc_id long, line long, family string, probability double, template string, cover double, confirmed boolean, first_word long, last_word long"
-    return docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text")).mapInArrow(run, kinds)
+    docs = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
+    kinds = "line long, family string, probability double, template string, cover double, confirmed boolean, first_word long, last_word long"
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {kinds}")

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import discard, written
 from .components import connected_components
 from .lookup import Lookup, deal
+from .names import col
 from .skew import dealt_join
 from .textvec import SHINGLE_BITS, Words, mix, shingle_counts, words_of
 
@@ -86,7 +87,7 @@ def _identity(w: Words) -> np.ndarray:
     return out.view(np.int64)
 
 
-_LAID = "doc_id long, th long, k1 long, k2 long, block long, copies long, size long, text string"
+_LAID = "doc_id {}, th long, k1 long, k2 long, block long, copies long, size long, text string"
 _LAID_NAMES = [x.split()[0] for x in _LAID.split(", ")]
 
 
@@ -487,8 +488,8 @@ def _classes(docs: DataFrame, doc_id: str, text: str, p: NearDup) -> tuple[DataF
     """Every row's doc_id, th (hash of its text), k1 and k2 (its words), and of words that are not alone their root and class_id."""
     spark = docs.sparkSession
     ways = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).cast("string").alias("text"))
-    laid = written(rows.mapInArrow(_lay(p), _LAID), "laid", "zstd")
+    rows = docs.select(col(doc_id).alias("doc_id"), F.xxhash64(col(text)).alias("th"), col(text).cast("string").alias("text"))
+    laid = written(rows.mapInArrow(_lay(p), _LAID.format(rows.schema["doc_id"].dataType.simpleString())), "laid", "zstd")
     n = laid.count()
     signed = written(laid.select("doc_id", "th", "k1", "k2"), "keys")
     copies = signed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
@@ -564,7 +565,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
       equal text exists.  A document of one to four words is one shingle.
     * Rows of equal doc_id and words share a class and their ``kept``.  Null ids
       take part; a class that holds nothing else has the class_id null.
-    * Other columns are not read; an empty table gives an empty result.
+    * Ids may be of any type that can be ordered.  Other columns are not read; an
+      empty table gives an empty result.
     """
     signed, classes = _classes(docs, doc_id, text, p)
     out = dealt_join(signed, classes, ["k1", "k2"], "n", ["doc_id", "th"], signed.count(), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
@@ -589,7 +591,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     given = docs.columns
     docs = docs.toDF(*[f"c{i}" for i in range(len(given))])
     id_, said = (docs[f"c{[c.lower() for c in given].index(x.lower())}"] for x in (doc_id, text))
-    same = id_.cast("long").eqNullSafe(rows["_id"]) & said.isNotNull() & (F.xxhash64(said) == rows["_th"])
+    same = id_.eqNullSafe(rows["_id"]) & said.isNotNull() & (F.xxhash64(said) == rows["_th"])
     left = docs.join(rows, same, "left_anti")
     if rows.where("_stays").isEmpty():
         return left.toDF(*given)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
+from .names import col
 from .textvec import LOWER, doc_ranges, run_hashes, utf8
 
 
@@ -200,27 +201,30 @@ def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     A document's ids are those of its text and ``end_id``.  Documents longer
     than ``size`` are cut into pieces of ``size``.  A null text counts as empty
     and so gives one piece of one id.  ``row`` tells rows of one doc_id apart.
+    Ids may be of any type, null and repeated; other columns are not read.
     """
     path = tokenizer or tokenizer_path()
-    kinds = "doc_id long, row long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    docs = docs.select(col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), col(text).alias("text"))
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = worker_tokenizer(path)
         end = np.array([end_id], np.uint32)
         names = ["doc_id", "row", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            ids, rows = batch.column(0), batch.column(1)
+            rows = batch.column(1)
             for a, found in tokenizer.column(batch.column(2)):
-                out = []
+                out, of = [], []
                 for k, tokens in enumerate(found):
                     data = np.concatenate((tokens, end)).astype("<u4").tobytes()
                     for n, at in enumerate(range(0, len(data), 4 * size)):
                         piece = data[at : at + 4 * size]
-                        out.append((ids[a + k].as_py(), rows[a + k].as_py(), n, at // 4, len(piece) // 4, zlib.crc32(piece), *[piece] * with_ids))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                        of.append(a + k)
+                        out.append((rows[a + k].as_py(), n, at // 4, len(piece) // 4, zlib.crc32(piece), *[piece] * with_ids))
+                yield pa.record_batch([batch.column(0).take(pa.array(of)), *(pa.array(c, t) for c, t in zip(zip(*out), types))], names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text")).mapInArrow(run, kinds)
+    return docs.mapInArrow(run, kinds)
 
 
 # --------------------------------------------------------------------------- packing
@@ -294,7 +298,7 @@ def pack(pieces: DataFrame, c: Capacity = Capacity()) -> DataFrame:
 def packed(docs: DataFrame, c: Capacity = Capacity(), doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """All documents in sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids].
 
-    Token ids stay out of the shuffle unless ``with_ids`` asks for them.
+    An empty table gives an empty result, repeated rows are packed each.  Token ids stay out of the shuffle unless ``with_ids`` asks for them.
     """
     pieces = written(token_pieces(docs, doc_id, text, c.tokens, tokenizer=tokenizer, with_ids=with_ids), "pieces")
     return pack(pieces, c).drop("row")

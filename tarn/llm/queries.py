@@ -145,4 +145,12 @@ ORACLES = {
                sha256(coalesce(string_agg(txt, '' {_IN_ORDER}) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(14 + CASE WHEN conflict THEN {_ESCAPED.format("role")} + {_ESCAPED.format("txt")} ELSE length(role) + length(txt) END) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op10_sharding": f"""
+        WITH tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i))),
+        d AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size,
+                     list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM documents),
+        s AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32,
+                     sum(size) OVER (ORDER BY doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS everything FROM d, tab),
+        p AS (SELECT *, CAST(least({SHARDS - 1}, ((2 * upto - size) * {SHARDS}) // (2 * everything)) AS INTEGER) AS shard FROM s)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p""",
 }

@@ -150,6 +150,53 @@ def test_shards_of_a_table(spark):
     for r in rows:
         sizes[r.shard] += r.size
     assert len(rows) == len(texts) and set(sizes) <= set(range(40))
+    # balance, slots and order
+    most, total = max(r.size for r in rows), sum(r.size for r in rows)
+    assert all(abs(sizes[k] - total / 40) <= most for k in range(40))
+    in_order = sorted(rows, key=lambda r: (r.shard, r.slot))
+    assert [r.doc_id for r in in_order] == sorted(texts)
+    for k in range(40):
+        own = [r.slot for r in in_order if r.shard == k]
+        assert own == list(range(len(own)))
+
+
+def test_shards_with_clashing_columns(spark):
+    df = spark.createDataFrame([(3, 5, "a", 1, 2), (None, 7, None, 3, 4), (3, 5, "a", 1, 2), (1, None, "b", 5, 6)], "doc_id long, size long, shard string, `_shard_size` int, `x.slot` int")
+    out = sharding.byte_shards(df, 2, "doc_id")
+    assert out.columns == [*df.columns, "_shard", "slot"]
+    got = sorted((r["_shard"], r.slot, r.doc_id, r.size, r.shard) for r in out.collect())
+    assert [x[2:] for x in got] == [(None, 7, None), (1, None, "b"), (3, 5, "a"), (3, 5, "a")]
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_oracles(spark, name):
+    """The registered SQL gives the query's rows."""
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "pages", "benchmark", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
+    want = con.sql(queries.ORACLES[name])
+    got = queries.QUERIES[name](spark, SMALL)
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = got.select(*want.columns).collect()
+    assert Counter(tuple(r) for r in rows) == Counter(want.fetchall())
+
+
+def test_every_repeated_row_is_one_blob(spark, tmp_path):
+    """Wholly equal rows, rows equal in text only, nulls as empty texts: each blob is scanned once by each rule."""
+    ledger = f"file://{tmp_path}/ledger"
+    rows = [(1, SECRETS[4])] * 50 + [(i, SECRETS[5]) for i in range(20)] + [(None, None), (None, None), (3, "")]
+    docs = spark.createDataFrame([(*r, "s", "b") for r in rows], "doc_id long, text string, _spans string, `blob.x` string").repartition(5)
+    assert secrets.scan_new_blobs(docs, ledger) == 3
+    assert spark.read.parquet(ledger).count() == 3 * len(secrets.RULES)
+    out = secrets.scan_secrets(docs, ledger)
+    assert out.columns == [*docs.columns, "__spans"] and out.count() == len(rows)
+    more = docs.unionByName(docs.limit(1).selectExpr("9 as doc_id", "'token=abcdefghijklmnop' as text", "_spans", "`blob.x`"))
+    assert secrets.scan_new_blobs(more, ledger) == 1  # an increment: known texts stay where they are
+    assert spark.read.parquet(ledger).count() == 4 * len(secrets.RULES)
+    long = spark.createDataFrame([(1, "lorem " * 200_000 + "password=abcdefghijkl " + "x " * 200_000)], "doc_id long, text string")
+    assert [r.s for r in secrets.scan_secrets(long).select(secrets.spans_text("_spans").alias("s")).collect()] == ["assign:1200000:1200021"]
 
 
 PAGES = [(1, "http://a/é x", "A" * 1000), (2, None, "A" * 1000), (3, "u", "A" * 999), (4, "u", "A" * 999), (None, "u", "A" * 1000), (5, "u", None), (6, "u", ""), (7, "u", "é" * 600), (8, "u", "é" * 600), (9, "u\nv", "\r\n\r\nWARC/1.1\r\n" * 300), (None, "u", "only" * 400)]

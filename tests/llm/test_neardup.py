@@ -138,7 +138,7 @@ def test_document_frequencies(spark, unit):
     p = neardup.NearDup(unit=unit)
     rows = [(i, 0, f"all of us say this here and {i} {i} {i}" + (" half of us say that too" if i % 2 else "")) for i in range(300)] + [(7, 0, "one row that occurs twice")] * 2
     docs = spark.createDataFrame(rows, "doc_id long, th long, text string").repartition(7)
-    laid = neardup.written(docs.mapInArrow(neardup._lay(p), neardup._LAID), "laid")
+    laid = neardup.written(docs.mapInArrow(neardup._lay(p), neardup._LAID.format("bigint")), "laid")
     assert laid.count() == len(rows) and laid.where("copies > 0").agg({"copies": "sum"}).first()[0] == len(rows)
     known = neardup._Frequencies(neardup.document_frequencies(laid, p))
     df = Counter(s for _, _, t in rows for s in bag(t))
@@ -175,6 +175,15 @@ def test_long_texts_among_short_ones(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5}
 
 
+def test_string_ids_and_odd_columns(spark):
+    rows = [("b", "x " * 20, 1, "p"), ("a", "x " * 20, 2, "q"), (None, "other", 3, None), ("c", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, `k1.x` int, _th string")
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
+    assert got == {"a": "a", "b": "a", None: None, "c": "c"}
+    left = neardup.drop_near_duplicates(docs)
+    assert left.columns == docs.columns and sorted((r[0] or "", r[2] or 0) for r in left.collect()) == [("", 3), ("a", 2), ("c", 0)]
+
+
 def test_common_weight_is_that_of_all_pairs():
     rows = near_copies(4)[:60]
     n = len(rows)

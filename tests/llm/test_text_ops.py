@@ -410,7 +410,44 @@ def test_best_fit(score):
         packing.best_fit(np.array([3000]))
 
 
+def plain_best_fit(length, size=2048, weights=(1.0, 0.05, 0.05)):
+    """Number of sequences by a plain scan of all open ones, longest pieces first."""
+    bins = []
+    for n in sorted(length, reverse=True):
+        best, at = None, None
+        for i, (used, count, cost) in enumerate(bins):
+            left = (size - used - n, size - count - 1, size * size - cost - n * n)
+            if min(left) >= 0:
+                value = sum(w * (x / c) ** 2 for w, x, c in zip(weights, left, (size, size, size * size)))
+                if best is None or value < best - 1e-15:
+                    best, at = value, i
+        if at is None:
+            bins.append((n, 1, n * n))
+        else:
+            used, count, cost = bins[at]
+            bins[at] = (used + n, count + 1, cost + n * n)
+    return len(bins)
+
+
 def test_packing_of_a_table(spark):
     rows = queries.op8_best_fit_packing(spark, SMALL).collect()
     n = check_packing(rows)
     assert n <= 1.03 * np.ceil(sum(r.length for r in rows) / 2048)
+    assert n == plain_best_fit([r.length for r in rows])
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    by = {}
+    for r in rows:
+        by.setdefault(r.doc_id, []).append(r)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    assert by.keys() == {d.doc_id for d in docs}
+    for d in docs:
+        ids = np.array(t.encode(d.text or "", add_special_tokens=False).ids + [0], "<u4")
+        want = [(i, 2048 * i, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())) for i, a in enumerate(range(0, len(ids), 2048))]
+        assert sorted((r.piece, r.start, r.length, r.ids_crc32) for r in by[d.doc_id]) == want
+
+
+def test_packing_of_string_ids(spark):
+    docs = spark.createDataFrame([("a", "x", 1), (None, None, 2), ("a", "x", 1)], "doc_id string, text string, `row.x` int")
+    assert sorted((r.doc_id or "", r.length) for r in packing.packed(docs).collect()) == [("", 1), ("a", 2), ("a", 2)]
