@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.spec import CQ
-from .relations import c, instances, lex_columns, weighted_sum
+from .relations import c, instances, lex_columns, prefix_sums, sum_scale, weighted_sum
 
 
 def answers(cq: CQ, tables: Mapping[str, DataFrame], semantics: str = "set") -> DataFrame:
@@ -33,18 +33,23 @@ def full_order(cq: CQ, order: Sequence[tuple[str, int]] | None = None) -> list[t
     return order + [(v, 1) for v in sorted(set(cq.free) - have)]
 
 
+def _ordered(cq: CQ, tables: Mapping[str, DataFrame], semantics: str, order: Sequence[tuple[str, int]] | None) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """All answers, and their order; a sum to order by is in ``__v``."""
+    rows, order = answers(cq, tables, semantics), full_order(cq, order)
+    if not cq.sums:
+        return rows, order
+    scale = sum_scale({f.name: f.dataType for f in rows.schema}, cq.sums)
+    return rows.withColumn("__v", weighted_sum(cq.sums, scale)), [("__v", 1), *order]
+
+
 def ranked(cq: CQ, tables: Mapping[str, DataFrame], semantics: str = "set", order: Sequence[tuple[str, int]] | None = None) -> DataFrame:
-    """All answers with their rank ``k``.  The window has no partition: one task sees every answer."""
-    keys = lex_columns(full_order(cq, order))
-    if cq.sums:
-        keys = [weighted_sum(cq.sums).asc(), *keys]
-    rows = answers(cq, tables, semantics)
-    return rows.withColumn("k", (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))
+    """All answers with their rank ``k``.  They are dealt by ranges of the order, so no task sees all of them."""
+    rows, order = _ordered(cq, tables, semantics, order)
+    placed = prefix_sums(rows.withColumn("__one", F.lit(1).cast("long")), [], order, "__one")
+    return placed.select(*map(c, cq.free), F.col("__start").cast("long").alias("k"))
 
 
 def kth(cq: CQ, tables: Mapping[str, DataFrame], k: int, semantics: str = "set", order: Sequence[tuple[str, int]] | None = None) -> DataFrame:
     """The answer of rank k, or no row."""
-    keys = lex_columns(full_order(cq, order))
-    if cq.sums:
-        keys = [weighted_sum(cq.sums).asc(), *keys]
-    return answers(cq, tables, semantics).orderBy(*keys).offset(k).limit(1)
+    rows, order = _ordered(cq, tables, semantics, order)
+    return rows.orderBy(*lex_columns(order)).offset(k).limit(1).select(*map(c, cq.free))

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.spec import CQ
 from ..sources.scratch import written
@@ -103,7 +104,8 @@ def prefix_sums(df: DataFrame, prefix: Sequence[str], order: Sequence[tuple[str,
 
     A bucket is what agrees on ``prefix``.  Without a prefix, and in the buckets
     that ``hot`` names, rows are dealt by ranges of the order, so that no task
-    sees a whole bucket.  Tuples of ``prefix`` and ``order`` must be distinct.
+    sees a whole bucket.  Rows that agree on ``prefix`` and ``order`` follow each
+    other in any order.
     """
     if not prefix:
         return _ranged_sums(df, prefix, order, weight)
@@ -139,9 +141,21 @@ def bucket_weights(df: DataFrame, prefix: Sequence[str], weight: str | None = No
     return project_count(df, prefix, weight, "weight")
 
 
-def weighted_sum(sums: Sequence[tuple[str, int]]) -> Column:
-    """The weighted sum of variables; 0 of none."""
-    return reduce(lambda a, b: a + b, [c(v).cast("long") * F.lit(k).cast("long") for v, k in sums], F.lit(0).cast("long"))
+def sum_scale(types: Mapping[str, T.DataType], sums: Sequence[tuple[str, int]]) -> int:
+    """Digits after the point that a sum needs; ValueError for a variable that is neither integer nor decimal."""
+    scale = 0
+    for v, _ in sums:
+        if isinstance(types[v], T.DecimalType):
+            scale = max(scale, types[v].scale)
+        elif not isinstance(types[v], T.IntegralType):
+            raise ValueError(f"{v} is of type {types[v].simpleString()}; a sum takes integers and decimals")
+    return scale
+
+
+def weighted_sum(sums: Sequence[tuple[str, int]], scale: int = 0) -> Column:
+    """The weighted sum of variables times 10 ** ``scale``, as bigint; 0 of none."""
+    unit = F.lit(10**scale)
+    return reduce(lambda a, b: a + b, [((c(v) * unit) if scale else c(v)).cast("long") * F.lit(k).cast("long") for v, k in sums], F.lit(0).cast("long"))
 
 
 def instances(cq: CQ, tables: Mapping[str, DataFrame]) -> list[DataFrame]:

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.medians import weighted_quickselect
+from ..functions.medians import histogram
 from ..plans.hypergraph import classify
 from ..plans.jointree import Tree, join_tree
 from ..plans.spec import CQ, NotTractable
 from .baseline import full_order
 from .reduction import Part, reduce_query
-from .relations import M, W, c, times
+from .relations import M, W, c, prefix_sums, times
 
 
 def counted(parts: list[Part], tree: Tree, big: bool = False) -> DataFrame:
@@ -53,20 +53,28 @@ class Selection:
 
     def select_k(self, k: int) -> dict[str, object]:
         """The answer of rank k; IndexError if there is none."""
-        if k < 0:
-            raise IndexError("a rank can't be negative")
-        parts = [Part(p.variables, p.df) for p in self.parts]
-        found: dict[str, object] = {}
-        for v, d in self.order:
-            if all(v in found for v in self.cq.free):
-                break
-            root = counted(parts, self._root(v), self.big)
-            got = weighted_quickselect(root.select(c(v), W), v, W, k, descending=d < 0).first()
-            if got is None:
-                raise IndexError(f"no answer of rank {k}")
-            found[v] = got[v]
-            k -= int(got["weight_before"])
-            for p in parts:
-                if v in p.variables:
-                    p.df = p.df.where(c(v).eqNullSafe(F.lit(got[v])))
-        return {v: found[v] for v in self.cq.free}
+        found = self.select_many([k])
+        if not found:
+            raise IndexError(f"no answer of rank {k}")
+        return found[k]
+
+    def select_many(self, ks: Iterable[int]) -> dict[int, dict[str, object]]:
+        """The answers of several ranks; none for those out of range.  Ranks that agree on values share their jobs."""
+        wanted = [(k, k) for k in dict.fromkeys(ks) if k >= 0]
+        return dict(self._descend(self.parts, {}, wanted)) if wanted else {}
+
+    def _descend(self, parts: list[Part], found: dict[str, object], ks: list[tuple[int, int]]) -> Iterator[tuple[int, dict[str, object]]]:
+        """Answers of the ranks ``ks``, each with its rank among those that have the values ``found``."""
+        rest = [(v, d) for v, d in self.order if v not in found]
+        if not rest:
+            yield from ((k, {v: found[v] for v in self.cq.free}) for k, _ in ks)
+            return
+        v, d = rest[0]
+        root = counted(parts, self._root(v), self.big)
+        sums = prefix_sums(histogram(root.select(c(v), W), v, W), [], [(v, d)], "weight")
+        among = sums.sparkSession.createDataFrame([(r,) for _, r in ks], "__r long")
+        got = sums.join(F.broadcast(among), (F.col("__start") <= F.col("__r")) & (F.col("__end") > F.col("__r")), "left_semi")
+        for row in got.select(c(v).alias("value"), "__start", "__end").collect():
+            own = [(k, r - int(row["__start"])) for k, r in ks if row["__start"] <= r < row["__end"]]
+            here = [Part(p.variables, p.df.where(c(v).eqNullSafe(F.lit(row.value))) if v in p.variables else p.df) for p in parts]
+            yield from self._descend(here, {**found, v: row.value}, own)

@@ -229,7 +229,8 @@ def lex_sort(spark, sf_dir):
 
 
 def _selected(spark: SparkSession, s: Selection | SumSelection, ks: list[int], names: list[str]) -> DataFrame:
-    rows = [(k, *(int(got[v]) for v in names)) for k in ks for got in [s.select_k(k)]]
+    """The answers of those ranks that exist."""
+    rows = [(k, *(int(got[v]) for v in names)) for k, got in s.select_many(ks).items()]
     return spark.createDataFrame(rows, ", ".join(["k long", *(f"`{v}` long" for v in names)]))
 
 
@@ -311,6 +312,20 @@ def sum_trim_gt(spark, sf_dir):
     return s.trim(1200, below=False).withColumn("nation", F.col("nation").cast("long"))
 
 
+_PRICES = "SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS nation, c_custkey AS cust, s_suppkey AS supp, CAST(round(c_acctbal, 2) AS DECIMAL(12, 2)) AS bal, CAST(round(s_acctbal, 2) AS DECIMAL(12, 2)) AS own FROM customer JOIN supplier ON s_nationkey = c_nationkey"
+
+
+@register(ranked_sql(f'SELECT *, CAST(bal - 2 * own AS DECIMAL(38, 2)) AS "sum" FROM ({_PRICES})', '"sum", bal, cust, own, supp, nation', "k IN (3, 50, 2500, 5000)", "nation, cust, supp, bal, own, \"sum\"").replace("nation, cust, supp, bal, own, \"sum\" EXCLUDE (k, n)", "nation, cust, supp, bal, own, \"sum\""))
+def sum_select_decimal(spark, sf_dir):
+    """Balances as decimals; the order of ties is that of all free variables by name."""
+    cents = lambda v: F.round(v, 2).cast("decimal(12,2)")
+    t = {"C": spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").cast("long"), "c_custkey", cents("c_acctbal")), "S": spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_nationkey").cast("long"), "s_suppkey", cents("s_acctbal"))}
+    cq = CQ.of([("C", ("nation", "cust", "bal")), ("S", ("nation", "supp", "own"))], None, ["bal", "cust", "own", "supp", "nation"], {"bal": 1, "own": -2})
+    found = SumSelection(cq, t).select_many([3, 50, 2500, 5000])
+    rows = [(k, r["nation"], r["cust"], r["supp"], r["bal"], r["own"], r["sum"]) for k, r in found.items()]
+    return spark.createDataFrame(rows, "k long, nation long, cust long, supp long, bal decimal(12,2), own decimal(12,2), sum decimal(38,2)")
+
+
 @register(f"SELECT cust, CAST(2 * cust - 3 * supp AS BIGINT) AS total FROM (SELECT DISTINCT {_COLSP} FROM {_PAIR})")
 def weighted_row_sum(spark, sf_dir):
     rows = baseline.answers(CQ.of(PAIR), tables(spark, sf_dir, PAIR))
@@ -356,7 +371,19 @@ CASES = {
 }
 
 
-@register()
+#: By hand, from the definitions: full, complete, acyclic, free-connex, L-connex, disruptive trios, direct access, selection.
+_CLASSES = {
+    "path3": (True, True, True, True, True, 0, True, True),
+    "path3_partial": (True, False, True, True, True, 0, True, True),
+    "pair_trio": (True, True, True, True, True, 1, False, True),
+    "pair_projected": (False, True, True, False, False, 0, False, False),
+    "chain_projected": (False, True, True, True, True, 0, True, True),
+    "triangle": (True, True, False, False, False, 0, False, False),
+}
+_VALUES = ", ".join(f"('{name}', " + ", ".join(str(x).lower() for x in row) + ")" for name, row in _CLASSES.items())
+
+
+@register(f"SELECT query, full_ AS \"full\", complete, acyclic, free_connex, l_connex, CAST(trios AS BIGINT) AS trios, direct_access, selection FROM (VALUES {_VALUES}) v(query, full_, complete, acyclic, free_connex, l_connex, trios, direct_access, selection)")
 def classify_orders(spark, sf_dir):
     found = [(name, c.full, c.complete, c.acyclic, c.free_connex, c.l_connex, len(c.trios), c.direct_access, c.selection) for name, q in CASES.items() for c in [classify(q)]]
     return spark.createDataFrame(found, "query string, full boolean, complete boolean, acyclic boolean, free_connex boolean, l_connex boolean, trios long, direct_access boolean, selection boolean")
