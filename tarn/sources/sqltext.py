@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Mapping
+from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +29,12 @@ def table_statements(cq: CQ, types: Mapping[str, str] | None = None, data_dir: s
     return "\n".join(out)
 
 
-def query_template(cq: CQ, semantics: str = "set") -> str:
-    """SELECT of the free variables with ``OFFSET {k} LIMIT 1``; the columns of a relation are c0, c1 ..."""
+def query_template(cq: CQ, semantics: str = "set", views: Mapping[str, str] | None = None) -> str:
+    """SELECT of the free variables with ``OFFSET {k} LIMIT 1``; the columns of a relation are c0, c1 ...
+
+    ``views`` names the views that hold the relations, if not they themselves.
+    """
+    view = lambda a: f"{_q((views or {}).get(a.relation, a.relation))} AS {_q(a.relation)}" if views else _q(a.relation)
     seen: dict[str, str] = {}
     clauses: list[str] = []
     inside: list[str] = []
@@ -42,10 +49,10 @@ def query_template(cq: CQ, semantics: str = "set") -> str:
                 on.append(f"{place} = {seen[v]}")
             own.setdefault(v, place)
         if not clauses:
-            clauses.append(f"FROM {_q(atom.relation)}")
+            clauses.append(f"FROM {view(atom)}")
             inside = on
         else:
-            clauses.append(f"JOIN {_q(atom.relation)} ON {' AND '.join(on)}" if on else f"CROSS JOIN {_q(atom.relation)}")
+            clauses.append(f"JOIN {view(atom)} ON {' AND '.join(on)}" if on else f"CROSS JOIN {view(atom)}")
         seen = {**own, **seen}
     columns = ", ".join(f"{seen[v]} AS {_q(v)}" for v in cq.free)
     order = [f"{_q(v)} {'ASC' if d > 0 else 'DESC'} NULLS LAST" for v, d in cq.lex]
@@ -70,8 +77,38 @@ def write_sql(cq: CQ, folder: str | Path, semantics: str = "set", data_dir: str
 
 
 def run_sql(spark: SparkSession, cq: CQ, tables: Mapping[str, DataFrame], k: int, semantics: str = "set") -> DataFrame:
-    """The template at rank k over ``tables``; an empty result beyond the last answer."""
-    for atom in cq.atoms:
-        t = tables[atom.relation]
-        t.toDF(*[f"c{i}" for i in range(len(t.columns))]).createOrReplaceTempView(f"`{atom.relation}`")
-    return spark.sql(query_template(cq, semantics).format(k=int(k)))
+    """The template at rank k over ``tables``; an empty result beyond the last answer.
+
+    The views it reads have names of their own and are dropped, so the session's
+    views stay as they are.
+    """
+    views = {a.relation: f"tarn_{uuid.uuid4().hex}" for a in cq.atoms}
+    for relation, view in views.items():
+        t = tables[relation]
+        t.toDF(*[f"c{i}" for i in range(len(t.columns))]).createOrReplaceTempView(view)
+    try:
+        return spark.sql(query_template(cq, semantics, views).format(k=int(k)))
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
+
+
+@dataclass
+class Run:
+    """One execution of the SQL text: its rows, the plan that ran, and milliseconds of planning and of execution."""
+
+    rows: list
+    plan: str
+    planning_ms: float
+    execution_ms: float
+
+
+def explain_analyze(spark: SparkSession, cq: CQ, tables: Mapping[str, DataFrame], k: int, semantics: str = "set") -> Run:
+    """Runs the template at rank k and keeps the adaptive plan as executed, with its times."""
+    began = time.perf_counter()
+    df = run_sql(spark, cq, tables, k, semantics)
+    plan = df._jdf.queryExecution().executedPlan()
+    planned = time.perf_counter()
+    rows = df.collect()
+    done = time.perf_counter()
+    return Run(rows, plan.toString(), round((planned - began) * 1000, 3), round((done - planned) * 1000, 3))

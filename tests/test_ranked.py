@@ -158,6 +158,66 @@ def test_sums(spark, case):
     assert s.trim(pivots[1], below=False).count() == sum(r["sum"] > pivots[1] for r in rows)
 
 
+@pytest.mark.parametrize("early", [None, 0, 5])
+def test_sum_batches(spark, early):
+    """Many ranks at once, with and without an early stop, against all answers; ranks out of range give none."""
+    rng = random.Random(11)
+    data = {"R": [(rng.randrange(4), rng.randrange(-50, 50)) for _ in range(40)], "S": [(rng.randrange(4), rng.randrange(10**6)) for _ in range(30)]}
+    cq = CQ.of([("R", "ab"), ("S", "ac")], None, {"a": 1, "b": -1, "c": 1}, {"b": 7, "c": -2, "a": 1})
+    rows = [dict(zip(cq.free, r)) for r in brute(cq, data, "bag", list(cq.lex))]
+    rows = sorted(({**r, "sum": 7 * r["b"] - 2 * r["c"] + r["a"]} for r in rows), key=lambda r: r["sum"])
+    s = SumSelection(cq, make(spark, cq, data), "bag")
+    ks = [0, 1, len(rows) // 3, len(rows) - 1, -1, len(rows), 1]
+    assert s.select_many(ks, early) == {k: rows[k] for k in {0, 1, len(rows) // 3, len(rows) - 1}}
+    assert s.select_many([]) == {} and s.select_many([len(rows)]) == {}
+
+
+def test_sums_of_decimals(spark):
+    from decimal import Decimal
+
+    left = [(1, Decimal("1.25")), (1, Decimal("-3.10")), (2, Decimal("7.00"))]
+    right = [(1, Decimal("0.125")), (1, Decimal("10.5")), (2, Decimal("0.001"))]
+    t = {"R": spark.createDataFrame(left, "j long, x decimal(10,2)"), "S": spark.createDataFrame(right, "j long, y decimal(10,3)")}
+    cq = CQ.of([("R", "jx"), ("S", "jy")], None, ["x"], {"x": 2, "y": -1})
+    want = sorted(2 * x - y for a, x in left for b, y in right if a == b)
+    s = SumSelection(cq, t)
+    assert [s.select_k(k)["sum"] for k in range(len(want))] == want
+    pivots = [want[1], want[1] + Decimal("0.0005"), Decimal(100), 3]
+    got = [(r.pivot, r.lt, r.le) for r in s.count_below(pivots).sort("pivot").collect()]
+    assert got == sorted({(p.quantize(Decimal("0.001"), "ROUND_FLOOR"), sum(w < p.quantize(Decimal("0.001"), "ROUND_FLOOR") for w in want), sum(w <= p for w in want)) for p in map(Decimal, pivots)})
+    assert s.trim(want[2], below=True).count() == 2 and s.trim(want[2], below=False).count() == len(want) - 3
+    assert sorted(r["sum"] for r in s.between(want[1], want[3]).collect()) == want[1:4]
+    assert [r.k for r in baseline.ranked(cq, t).sort("k").collect()] == list(range(len(want)))
+    assert baseline.kth(cq, t, 2).first().x * 2 - baseline.kth(cq, t, 2).first().y == want[2]
+
+
+def test_last_join_of_a_sum_is_by_band(spark):
+    """Answers of one sum are joined by key and sum, not by key alone."""
+    cq = CQ.of([("R", "ka"), ("S", "kb")], None, ["a"], ["a", "b"])
+    t = {"R": spark.range(2000).selectExpr("id % 2 as k", "id as a"), "S": spark.range(2000).selectExpr("id % 2 as k", "id as b")}
+    s = SumSelection(cq, t)
+    plan = s._between(1000, 1000)._jdf.queryExecution().optimizedPlan().toString()
+    (join,) = (line for line in plan.splitlines() if "Join Inner" in line)
+    assert "__band" in join and "(k#" in join
+    assert s.between(1000, 1000).count() == 1001
+
+
+def test_batches_of_selection(spark):
+    data = random_case(random.Random(3), [(a.relation, a.variables) for a in TRIO.atoms], 6)
+    s = Selection(TRIO, make(spark, TRIO, data), "bag")
+    want = brute(TRIO, data, "bag", s.order)
+    got = s.select_many([*range(len(want)), len(want), -1])
+    assert {k: tuple(r[v] for v in TRIO.free) for k, r in got.items()} == dict(enumerate(want))
+
+
+def test_tree_search():
+    from tarn.plans.jointree import join_tree
+
+    edges = [frozenset("ab"), frozenset("bc"), frozenset("cd"), frozenset("bd")][:3]
+    tree = join_tree(edges, 0)
+    assert tree.find(edges, "a") == tree.find(edges, "b") == 0 and tree.find(edges, "d") == 2 and tree.find(edges, "z") is None
+
+
 def test_refusals(spark):
     data = {n: [(1, 1)] for n in "RST"}
     for cq in (ENDS, TRIANGLE):

@@ -57,6 +57,38 @@ def test_count_and_sql_text(spark, folder):
     assert (folder / "explain_template.sql").read_text().startswith("EXPLAIN")
 
 
+def test_sum_command(spark, folder):
+    spec = {**SPEC, "sum_order": {"R.a": 1, "S.d": -2}}
+    (folder / "s.json").write_text(json.dumps(spec))
+    (folder / "R.csv").write_text("1,2\n1,3\n4,2\n")
+    out = cli.main(["sum", "--query_file", f"{folder}/s.json", "--data_dir", str(folder), "--k_list", "0", "2", "99", "--time_data_file", f"{folder}/t.csv"], spark)
+    assert [(r["k"], r["result"]["sum"]) for r in out] == [(0, -11), (2, -9)]
+    assert {"PrepareSelection", "SelectK"} <= {r["process"] for r in csv.DictReader((folder / "t.csv").open())}
+
+
+def test_sql_runner_leaves_views_alone(spark, folder):
+    from tarn.sources import sqltext
+
+    spark.range(3).createOrReplaceTempView("R")
+    before = {t.name for t in spark.catalog.listTables()}
+    cq, tables = files.open_query(spark, f"{folder}/q.json", str(folder))
+    run = sqltext.explain_analyze(spark, cq, tables, 3, "bag")
+    assert [tuple(r) for r in run.rows] == [WANT[3]] and "AdaptiveSparkPlan" in run.plan and run.execution_ms > 0 and run.planning_ms > 0
+    assert sqltext.explain_analyze(spark, cq, tables, 99, "bag").rows == []
+    assert {t.name for t in spark.catalog.listTables()} == before and spark.table("R").count() == 3
+    spark.catalog.dropTempView("R")
+
+
+def test_experiment(spark, folder):
+    out = cli.main(["experiment", "--query_file", f"{folder}/q.json", "--out_dir", f"{folder}/exp", "--sizes", "4", "9", "--iterations", "1", "--time_data_file", f"{folder}/times.csv"], spark)
+    by = {}
+    for r in out:
+        by.setdefault(r["exp_id"], []).append(r["result"])
+    for n in (4, 9):
+        assert by[f"access-{n}"] == by[f"select-{n}"] == by[f"baseline-{n}"] == by[f"sql-{n}"] and by[f"count-{n}"][0]["count"] > 0
+    assert {"PrepareTree", "Sort", "SelectK"} <= {r["process"] for r in csv.DictReader((folder / "times.csv").open())}
+
+
 def test_generated(spark, folder):
     for kind, param in (("uniform", None), ("zipf", 1.2), ("normal", None)):
         df = datagen.generate(spark, ["a", "b"], 300, "small", kind, param) if kind != "normal" else datagen.generate(spark, ["a", "b"], 100, "large", kind, param)
