@@ -407,7 +407,7 @@ def _units(templates: list[tuple[str, str, np.ndarray]], families: list[str], ke
 
 
 def _fitted(model: Classifier, x: np.ndarray, y: np.ndarray) -> None:
-    """Full-batch gradient descent with momentum, classes weighing alike."""
+    """Full-batch gradient descent with momentum, classes weighing alike; units are in single precision."""
     p, classes = model.params, len(model.families) + 1
     model.weights, model.bias, model.temperature = np.zeros((len(model.vocabulary), classes)), np.zeros(classes), 1.0
     target = np.eye(classes)[y]
@@ -415,8 +415,10 @@ def _fitted(model: Classifier, x: np.ndarray, y: np.ndarray) -> None:
     importance /= importance.sum()
     vw, vb = np.zeros_like(model.weights), np.zeros_like(model.bias)
     for _ in range(p.steps):
-        g = (model.probabilities(x) - target) * importance
-        vw = 0.9 * vw - 4.0 * (x.T @ g + 1e-5 * model.weights)
+        z = x @ model.weights.astype(np.float32) + model.bias
+        z = np.exp(z - z.max(1, keepdims=True))
+        g = (z / z.sum(1, keepdims=True) - target) * importance
+        vw = 0.9 * vw - 4.0 * (x.T @ g.astype(np.float32) + 1e-5 * model.weights)
         vb = 0.9 * vb - 1.0 * g.sum(0)
         model.weights += vw
         model.bias += vb
@@ -432,7 +434,7 @@ def train(negatives: list[str], p: LicenseScan = LicenseScan()) -> Classifier:
     kept = [h for h in map(words_hash, negatives) if len(h) and not any(np.isin(t, grams(h, 2)).mean() >= p.cover for _, _, t in templates)]
     filler = np.concatenate(kept) if kept else words_hash(" ".join(LOOKALIKES))
     units = _units(templates, families, kept, filler, p)
-    x, y = np.array([model.features(h) for h, _, _ in units]), np.array([label for _, label, _ in units])
+    x, y = np.array([model.features(h) for h, _, _ in units], np.float32), np.array([label for _, label, _ in units])
 
     # the temperature is that of statements unseen as wholes: of each family with three templates or more one, a third
     # of the foreign licences and look-alikes, and a fifth of the corpus
