@@ -513,7 +513,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, p: NearDup) -> tuple[DataF
     sets = written(texts.mapInArrow(_sets(frequencies, wanted, n, p), _SETS), "sets")
 
     # every member against the bucket's pivots
-    cells = F.greatest(F.ceil(F.col("n") / p.block), F.ceil(F.col("sizes") / p.unit)).cast("int")
+    cells = F.greatest(F.ceil(F.col("n") / max(1, p.block // 4)), F.ceil(F.col("sizes") / p.unit)).cast("int")
     share = F.pmod(F.xxhash64("k2", "k1"), F.lit(p.pivots))
     least_of = F.array(*[F.min(F.when(share == j, F.struct("k1", "k2"))) for j in range(p.pivots)])
     pivots = members.groupBy("bucket").agg(F.filter(least_of, lambda k: k.isNotNull()).alias("pivots"), F.max(cells).alias("cells"))

@@ -107,3 +107,34 @@ def test_run(spark, folder):
     alone = corpus_pipeline.packing_stage(spark, spark.createDataFrame(rows, SCHEMA), folder).collect()
     tokens = lambda out: sorted(((r.doc_id, r.piece, r.length, r.ids_crc32) for r in out), key=str)
     assert tokens(packed) == tokens(alone)
+
+
+CLASHING = "doc_id long, text string, lang string, _lang string, _hits long, _spans string, k1 long, block string, `a.b` int, c0 string, added string"
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stage_on_odd_tables(spark, folder, k):
+    """Columns with the names that the operators use inside, nulls in all of them; ties and repeated rows; no rows at all."""
+    rows = documents()
+    for plain in PLAIN[:k]:
+        rows = plain(rows)
+    rows += rows[:2]
+    extra = [(None,) * 8 if i % 3 == 0 else ("x", i, "y", i, "z", i, "c", "d") for i in range(len(rows))]
+    stage = corpus_pipeline.STAGES[k][1]
+    odd = spark.createDataFrame([(*r, *e) for r, e in zip(rows, extra)], CLASHING)
+    got = stage(spark, odd, folder)
+    plain = stage(spark, spark.createDataFrame(rows, SCHEMA), folder)
+    if k < 4:
+        assert got.columns == odd.columns and found(got) == found(plain)
+        kept = {tuple(r) for r in got.drop("text").collect()}
+        assert kept <= {(r[0], r[2], *e) for r, e in zip(rows, extra)}
+    else:
+        assert sorted((str(r.doc_id), r.piece, r.ids_crc32) for r in got.collect()) == sorted((str(r.doc_id), r.piece, r.ids_crc32) for r in plain.collect())
+    empty = stage(spark, odd.limit(0), folder)
+    assert empty.count() == 0 and (k == 4 or empty.columns == odd.columns)
+
+
+def test_run_on_nothing(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
