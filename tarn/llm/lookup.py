@@ -7,6 +7,7 @@ scanned rows are not shuffled, and a lost task reads the same files again.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -27,6 +28,9 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if ":/" in uri else "file://" + uri)
 
 
+_files: dict[str, dict[int, str]] = {}
+
+
 @dataclass(frozen=True)
 class Lookup:
     path: str
@@ -38,10 +42,16 @@ class Lookup:
         """The rows of this key."""
         from pyarrow import dataset, fs
 
-        system, place = filesystem(f"{self.path}/dealt={_way(key, self.ways)}")
-        if system.get_file_info(place).type == fs.FileType.NotFound:
+        system, place = filesystem(self.path)
+        if self.path not in _files:  # a worker process lists a folder once
+            if len(_files) > 8:
+                _files.clear()
+            names = [f.path for f in system.get_file_info(fs.FileSelector(place))]
+            _files[self.path] = {int(m[1]): n for n in names if (m := re.search(r"/part-(\d+)-[^/]*\.parquet$", n))}
+        name = _files[self.path].get(_way(key, self.ways))
+        if name is None:
             return self.schema.empty_table()
-        found = dataset.dataset(place, self.schema, format="parquet", filesystem=system)
+        found = dataset.dataset(name, self.schema, format="parquet", filesystem=system)
         return found.to_table(filter=dataset.field(self.key) == key)
 
 
@@ -49,12 +59,18 @@ def _way(key: int, ways: int) -> int:
     return ((key >> 32) * 31 + (key & 0xFFFFFFFF)) % ways
 
 
-def deal(df: DataFrame, key: str, name: str) -> Lookup:
-    """Writes ``df`` dealt by ``key``, a non-negative long whose high half is a partition and whose low half a number in it."""
+def deal(df: DataFrame, key: str, name: str, ways: int | None = None) -> Lookup:
+    """Writes ``df`` dealt by ``key``, a non-negative long whose high half is a partition and whose low half a number in it.
+
+    There is a file for each of ``ways`` (the shuffle partitions, unless given),
+    which its number names, and no folder for it.
+    """
     spark = df.sparkSession
-    ways = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ways = ways or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = fresh_path(spark, name)
     way = F.pmod(F.shiftright(key, 32) * 31 + F.col(key).bitwiseAND(0xFFFFFFFF), F.lit(ways)).cast("int")
-    dealt = df.withColumn("dealt", way).repartition(ways, "dealt").sortWithinPartitions("dealt", key)
-    dealt.write.option("parquet.block.size", GROUP_BYTES).partitionBy("dealt").parquet(path)
+    df.repartitionById(ways, way).sortWithinPartitions(key).write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    if not back.where(way != F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)-", 1).cast("int")).isEmpty():
+        raise RuntimeError(f"rows of {name} lie in files of other numbers")
     return Lookup(path, key, ways, to_arrow_schema(df.schema))

@@ -491,7 +491,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, p: NearDup) -> tuple[DataF
     rows = docs.select(col(doc_id).alias("doc_id"), F.xxhash64(col(text)).alias("th"), col(text).cast("string").alias("text"))
     laid = written(rows.mapInArrow(_lay(p), _LAID.format(rows.schema["doc_id"].dataType.simpleString())), "laid", "zstd")
     n = laid.count()
-    signed = written(laid.select("doc_id", "th", "k1", "k2"), "keys")
+    signed = laid.select("doc_id", "th", "k1", "k2")
     copies = signed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
 
     texts = laid.where("copies > 0").select("block", "k1", "k2", "text")
@@ -509,7 +509,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, p: NearDup) -> tuple[DataF
 
     # the shared shingles of all members, once
     places = members.select("k1", "k2").distinct().join(laid.where("copies > 0").groupBy("k1", "k2").agg(F.min("block").alias("block")), ["k1", "k2"])
-    wanted = deal(places.select("block", "k1", "k2"), "block", "wanted")
+    wanted = deal(places.select("block", "k1", "k2"), "block", "wanted", max(1, ways // 16))  # two numbers for a text
     sets = written(texts.mapInArrow(_sets(frequencies, wanted, n, p), _SETS), "sets")
 
     # every member against the bucket's pivots
@@ -521,7 +521,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, p: NearDup) -> tuple[DataF
     first = pivots.select("bucket", F.explode("pivots").alias("k"), "cells").select("bucket", F.lit(True).alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "k.k1", "k.k2")
     grouped = every.unionByName(first).join(sets, ["k1", "k2"]).withColumn("g", F.xxhash64("bucket", "cell"))
     grouped = grouped.select("g", "pivot", "k1", "k2", "total", "shingles", "counts", "df").repartition(ways, "g").sortWithinPartitions("g", F.desc("pivot"), "k1", "k2")
-    links = written(grouped.mapInArrow(_star(n, p), "a1 long, a2 long, b1 long, b2 long"), "links")
+    links = grouped.mapInArrow(_star(n, p), "a1 long, a2 long, b1 long, b2 long")
     within = written(_components(links), "roots")
 
     # buckets of several classes: what is outside the largest class against all members
@@ -538,7 +538,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, p: NearDup) -> tuple[DataF
     both = column.unionByName(line).select(F.xxhash64("bucket", "line", "column").alias("g"), "k1", "k2", "class").distinct()
     grouped = both.join(sets, ["k1", "k2"]).select("g", F.col("class.k1").alias("c1"), F.col("class.k2").alias("c2"), "total", "shingles", "counts", "df")
     grouped = grouped.repartition(ways, "g").sortWithinPartitions("g")
-    more = written(grouped.mapInArrow(_across(n, p), "a1 long, a2 long, b1 long, b2 long"), "more-links")
+    more = grouped.mapInArrow(_across(n, p), "a1 long, a2 long, b1 long, b2 long")
     merged = _components(more)
 
     # the classes' own nodes and roots, then those of single documents that were linked in the second step
@@ -554,7 +554,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, p: NearDup) -> tuple[DataF
     linked = dealt_join(linked, least, ["root"], "nodes", ["k1", "k2"], roots.count()).select("k1", "k2", "n", "root", "class_id")
     alone = classes.where("root is null and n > 1").select("k1", "k2", "n", F.struct("k1", "k2").alias("root"), F.col("least").alias("class_id"))
     classes = written(linked.unionByName(alone), "classes")
-    discard(spark, laid, frequencies.path, wanted.path, banded, members, sets, links, within, more, roots)
+    discard(spark, frequencies.path, wanted.path, banded, members, sets, within, roots)
     return signed, classes
 
 
