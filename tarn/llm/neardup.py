@@ -56,7 +56,7 @@ class NearDup:
     block: int = 256
     seed: int = 20
     #: Shingles of a block of rows, and of a range of hashes that is counted at once.
-    unit: int = 2_000_000
+    unit: int = 1_000_000
 
 
 def idf_of(df: np.ndarray, n: int) -> np.ndarray:
