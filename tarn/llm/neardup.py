@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import discard, written
+from .batches import small_batches
 from .components import connected_components
 from .lookup import Lookup, deal
 from .names import col
@@ -376,10 +377,20 @@ def _sets(frequencies: Lookup, wanted: Lookup, n: int, p: NearDup):
     return run
 
 
+def _views(column: pa.Array, kind: type) -> list[np.ndarray]:
+    """The integers of every row of a binary column without nulls, in the column's own memory."""
+    if not len(column):
+        return []
+    _, offsets, data = column.buffers()
+    wide, places = np.dtype(kind).itemsize, np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    at = np.frombuffer(offsets, places)[column.offset : column.offset + len(column) + 1] // wide
+    values = np.frombuffer(data or b"", kind, (data.size if data else 0) // wide)
+    return [values[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
 def _read(table: pa.Table) -> list[tuple]:
-    """(shingles, counts, df) of every row."""
-    columns = zip(*(_one(table, k).to_pylist() for k in ("shingles", "counts", "df")))
-    return [(np.frombuffer(s, np.uint64), np.frombuffer(c, np.uint32), np.frombuffer(d, np.int64)) for s, c, d in columns]
+    """(shingles, counts, df) of every row; they keep the table's memory."""
+    return list(zip(*(_views(_one(table, k), kind) for k, kind in (("shingles", np.uint64), ("counts", np.uint32), ("df", np.int64)))))
 
 
 def common_weight(a: tuple, b: tuple, n: int) -> float:
@@ -414,7 +425,7 @@ def _star(n: int, p: NearDup):
                     if (a1, a2) != (k1, k2) and _similar(common_weight(own, theirs, n), total, other, p):
                         found.append((a1, a2, k1, k2))
                         break
-                if pivot:  # its arrays outlive the batch
+                if pivot:  # without its batch
                     pivots.append((k1, k2, total, tuple(x.copy() for x in own)))
             if len(found) > 50_000:
                 yield _links(found)
@@ -486,6 +497,11 @@ def _components(links: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame, doc_id: str, text: str, p: NearDup) -> tuple[DataFrame, DataFrame]:
     """Every row's doc_id, th (hash of its text), k1 and k2 (its words), and of words that are not alone their root and class_id."""
+    with small_batches(docs.sparkSession):  # all that runs Python is written in here
+        return _classed(docs, doc_id, text, p)
+
+
+def _classed(docs: DataFrame, doc_id: str, text: str, p: NearDup) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     ways = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(col(doc_id).alias("doc_id"), F.xxhash64(col(text)).alias("th"), col(text).cast("string").alias("text"))
