@@ -10,13 +10,19 @@
    shingles are shuffled, and a block's counts fit in a task's memory.
 3. Improved consistent weighted sampling draws ``bands * rows`` samples per
    document; two documents agree in a sample with the probability of their
-   weighted Jaccard similarity.
+   weighted Jaccard similarity.  ``flat_bands * rows`` more are drawn by the
+   weights without idf, for step 4's second measure.
 4. Documents that agree in all samples of a band share a bucket.  The exact
    weighted Jaccard similarity is computed in two steps.  First every member is
    compared with the bucket's ``pivots``.  Only buckets whose members are not in
    one class by then go on: there, the members outside the largest class are
    compared with all others, in bounded groups.  No link between different
    classes is lost, and a bucket of m copies costs m comparisons.
+   In a large group of near copies df is the group's own size, so that what they
+   share weighs little beside every edit.  In a bucket of ``crowd`` texts or more
+   two texts are therefore also linked if their similarity without idf reaches
+   the threshold, unless what they share is mostly held elsewhere: its mean df
+   (geometric) may be ``apart`` times the bucket's texts.
 5. Classes are the connected components of the links.
 
 Rows whose words are the same in the same order count as one document from step
@@ -56,6 +62,11 @@ class NearDup:
     pivots: int = 4
     block: int = 256
     seed: int = 20
+    #: Buckets of so many texts are judged without idf too, where no more than so many rows for each of them hold what two texts share.
+    crowd: int = 8
+    apart: int = 64
+    #: Bands of samples without idf; 8 find a pair of such similarity 0.8 with probability 0.985.
+    flat_bands: int = 8
     #: Shingles of a block of rows, and of a range of hashes that is counted at once.
     unit: int = 1_000_000
 
@@ -72,6 +83,11 @@ def weight(count: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def flat_weight(count: np.ndarray) -> np.ndarray:
+    """1 + ln count."""
+    return 1 + np.log(count)
+
+
 # --------------------------------------------------------------------------- layout
 
 
@@ -287,7 +303,7 @@ class Sampler:
         gamma = _gamma_quantiles(1 << 16)
         self.r = gamma.astype(np.float32)
         self.lnc = np.log(gamma).astype(np.float32)
-        self.factor = rng.integers(0, 2**63, self.n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.factor = rng.integers(0, 2**63, self.n + p.flat_bands * p.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def draw(self, shingle: np.ndarray, d: int, ln_s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ln a and t of every shingle in sample d."""
@@ -308,15 +324,17 @@ class Sampler:
         beta += self.lnc[short[:, 2]]  # ln c - r (t - beta + 1)
         return beta, t
 
-    def bands(self, doc: np.ndarray, shingle: np.ndarray, s: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-        """The documents that have shingles, and their hash for each band."""
+    def bands(self, doc: np.ndarray, shingle: np.ndarray, s: np.ndarray, n_docs: int, flat: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The documents that have shingles, and their hash for each band, or for each of the ``flat`` ones."""
+        many = self.p.flat_bands if flat else self.p.bands
         if not len(doc):
-            return np.zeros(0, np.int64), np.zeros((0, self.p.bands), np.int64)
+            return np.zeros(0, np.int64), np.zeros((0, many), np.int64)
         first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
         place = np.arange(len(doc), dtype=np.int64)
         ln_s = np.log(s).astype(np.float32)
-        out = np.zeros((len(first), self.p.bands), np.uint64)
-        for d in range(self.n):
+        out = np.zeros((len(first), many), np.uint64)
+        from_ = self.n if flat else 0
+        for d in range(from_, from_ + many * self.p.rows):
             ln_a, t = self.draw(shingle, d, ln_s)
             i = ln_a.view(np.int32)
             i ^= (i >> 31) & np.int32(0x7FFFFFFF)  # integers in the order of ln a
@@ -325,7 +343,7 @@ class Sampler:
             key |= place
             best = np.minimum.reduceat(key, first) & 0xFFFFFFFF
             got = mix(shingle[best] + t[best].astype(np.int64).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(d << 56))
-            b = d // self.p.rows
+            b = (d - from_) // self.p.rows
             out[:, b] = mix(out[:, b] + got)
         return doc[first], out.view(np.int64)
 
@@ -337,10 +355,12 @@ def _sign(frequencies: Lookup, n: int, p: NearDup):
             for w in words_of(_one(table, "text")):
                 doc, shingle, count = shingle_counts(w, p.words)
                 have, bands = sampler.bands(doc, shingle, weight(count, known.of(block, shingle), n), w.n_docs)
+                bands = np.hstack([bands, sampler.bands(doc, shingle, flat_weight(count), w.n_docs, flat=True)[1]])
+                many = bands.shape[1]
                 size = np.bincount(doc, minlength=w.n_docs)[have]
-                at = np.repeat(have, p.bands) + w.first
+                at = np.repeat(have, many) + w.first
                 k1, k2 = (_one(table, k).to_numpy()[at] for k in ("k1", "k2"))
-                columns = [k1, k2, np.repeat(size, p.bands), np.tile(np.arange(p.bands, dtype=np.int32), len(have)), bands.ravel()]
+                columns = [k1, k2, np.repeat(size, many), np.tile(np.arange(many, dtype=np.int32), len(have)), bands.ravel()]
                 yield pa.record_batch([pa.array(c) for c in columns], ["k1", "k2", "size", "band", "value"])
 
     return run
@@ -348,11 +368,11 @@ def _sign(frequencies: Lookup, n: int, p: NearDup):
 
 # --------------------------------------------------------------------------- verification
 
-_SETS = "k1 long, k2 long, total double, shingles binary, counts binary, df binary"
+_SETS = "k1 long, k2 long, total double, flat double, shingles binary, counts binary, df binary"
 
 
 def _sets(frequencies: Lookup, wanted: Lookup, n: int, p: NearDup):
-    """The wanted documents' total weight and those shingles that other rows hold too."""
+    """The wanted documents' total weight, with and without idf, and those shingles that other rows hold too."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Frequencies(frequencies)
@@ -367,11 +387,12 @@ def _sets(frequencies: Lookup, wanted: Lookup, n: int, p: NearDup):
                 doc, shingle, count = shingle_counts(w, p.words)
                 df = known.of(block, shingle)
                 total = np.bincount(doc, weight(count, df, n), w.n_docs)
+                flat = np.bincount(doc, flat_weight(count), w.n_docs)
                 shared = df > 1
                 doc, shingle, count, df = doc[shared], shingle[shared], count[shared].astype(np.uint32), df[shared]
                 cuts = np.searchsorted(doc, np.arange(w.n_docs + 1)).tolist()
-                out = [(*keys[keep[w.first + d]], total[d], shingle[a:b].tobytes(), count[a:b].tobytes(), df[a:b].tobytes()) for d, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
-                types = (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary())
+                out = [(*keys[keep[w.first + d]], total[d], flat[d], shingle[a:b].tobytes(), count[a:b].tobytes(), df[a:b].tobytes()) for d, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
+                types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], [x.split()[0] for x in _SETS.split(", ")])
 
     return run
@@ -393,16 +414,21 @@ def _read(table: pa.Table) -> list[tuple]:
     return list(zip(*(_views(_one(table, k), kind) for k, kind in (("shingles", np.uint64), ("counts", np.uint32), ("df", np.int64)))))
 
 
-def common_weight(a: tuple, b: tuple, n: int) -> float:
-    """Weight of what two documents share: the smaller of each shingle's weights."""
+def _shared(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Of the shingles that two documents share the smaller count, and df."""
     if len(a[0]) > len(b[0]):
         a, b = b, a
     if not len(a[0]):
-        return 0.0
+        return a[1], a[2]
     at = np.searchsorted(b[0], a[0])
     at[at == len(b[0])] = 0
     hit = np.flatnonzero(b[0][at] == a[0])
-    return float(weight(np.minimum(a[1][hit], b[1][at[hit]]), a[2][hit], n).sum())
+    return np.minimum(a[1][hit], b[1][at[hit]]), a[2][hit]
+
+
+def common_weight(a: tuple, b: tuple, n: int) -> float:
+    """Weight of what two documents share: the smaller of each shingle's weights."""
+    return float(weight(*_shared(a, b), n).sum())
 
 
 def _similar(common, total, n_total, p: NearDup):
@@ -410,6 +436,11 @@ def _similar(common, total, n_total, p: NearDup):
     return (common >= (p.threshold - 1e-9) * union) & (union > 0)
 
 
+def _crowded(common, log_df, flat, n_flat, texts: int, p: NearDup):
+    """Similar without idf, in a bucket of so many texts; ``log_df`` is the sum of weight times ln df of what is shared."""
+    return _similar(common, flat, n_flat, p) & (log_df <= np.log(p.apart * texts) * common)
+
+
 def _star(n: int, p: NearDup):
     """Over partitions sorted by group, pivots first: links of the members to the first pivot that they resemble."""
 
@@ -417,16 +448,23 @@ def _star(n: int, p: NearDup):
         current, pivots, found = None, [], []
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            columns = [_one(table, k).to_pylist() for k in ("g", "pivot", "k1", "k2", "total")]
-            for g, pivot, k1, k2, total, own in zip(*columns, _read(table)):
+            columns = [_one(table, k).to_pylist() for k in ("g", "pivot", "texts", "k1", "k2", "total", "flat")]
+            for g, pivot, texts, k1, k2, total, flat, own in zip(*columns, _read(table)):
                 if g != current:
                     current, pivots = g, []
-                for a1, a2, other, theirs in pivots:
-                    if (a1, a2) != (k1, k2) and _similar(common_weight(own, theirs, n), total, other, p):
+                for a1, a2, other, n_flat, theirs in pivots:
+                    if (a1, a2) == (k1, k2):
+                        continue
+                    count, df = _shared(own, theirs)
+                    near = _similar(float(weight(count, df, n).sum()), total, other, p)
+                    if not near and texts >= p.crowd:
+                        w = flat_weight(count)
+                        near = _crowded(float(w.sum()), float((w * np.log(df)).sum()), flat, n_flat, texts, p)
+                    if near:
                         found.append((a1, a2, k1, k2))
                         break
                 if pivot:  # without its batch
-                    pivots.append((k1, k2, total, tuple(x.copy() for x in own)))
+                    pivots.append((k1, k2, total, flat, tuple(x.copy() for x in own)))
             if len(found) > 50_000:
                 yield _links(found)
                 found = []
@@ -448,34 +486,38 @@ def _across(n: int, p: NearDup):
     g(c) = 1 + ln c and g(0) = 0, so that the sum of minima is a matrix product.
     """
 
-    def similar(total: np.ndarray, sets: list[tuple]) -> np.ndarray:
+    def similar(total: np.ndarray, flat: np.ndarray, sets: list[tuple], texts: int) -> np.ndarray:
         many = len(sets)
         doc = np.repeat(np.arange(many), [len(s[0]) for s in sets])
         shingle, count, df = (np.concatenate([s[i] for s in sets]) for i in range(3))
         count = count.astype(np.int64)
         level = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + 1
         element = mix(np.repeat(shingle, count) * np.uint64(0x9E3779B97F4A7C15) + level.astype(np.uint64))
-        step = np.repeat(idf_of(df, n), count)
+        step = np.ones(len(level))
         more = level > 1
-        step[more] *= np.log(level[more]) - np.log(level[more] - 1)
+        step[more] = np.log(level[more]) - np.log(level[more] - 1)
         doc = np.repeat(doc, count)
         order = np.argsort(element, kind="stable")
-        element, doc, step = element[order], doc[order], np.sqrt(step[order])
-        common = np.zeros((many, many))
+        element, doc, step = element[order], doc[order], step[order]
+        # with idf; in a crowd also without, and times ln df
+        steps = [np.sqrt(step * np.repeat(x, count)[order]) for x in (idf_of(df, n), *([np.ones(len(df)), np.log(df)] if texts >= p.crowd else []))]
+        common = [np.zeros((many, many)) for _ in steps]
         run = np.cumsum(np.concatenate(([False], element[1:] != element[:-1]))) if len(element) else element
         for a in range(0, int(run[-1]) + 1 if len(run) else 0, 4096):
             lo, hi = np.searchsorted(run, [a, a + 4096])
             m = np.zeros((many, 4096))
-            m[doc[lo:hi], (run[lo:hi] - a).astype(np.int64)] = step[lo:hi]
-            common += m @ m.T
-        return _similar(common, total[:, None], total[None, :], p)
+            for own, s in zip(common, steps):
+                m[doc[lo:hi], (run[lo:hi] - a).astype(np.int64)] = s[lo:hi]
+                own += m @ m.T
+        near = _similar(common[0], total[:, None], total[None, :], p)
+        return near | _crowded(*common[1:], flat[:, None], flat[None, :], texts, p) if len(common) > 1 else near
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in _runs(batches, "g"):
             classes = list(zip(_one(table, "c1").to_pylist(), _one(table, "c2").to_pylist()))
             if len(set(classes)) < 2:
                 continue
-            near = similar(_one(table, "total").to_numpy(), _read(table))
+            near = similar(_one(table, "total").to_numpy(), _one(table, "flat").to_numpy(), _read(table), _one(table, "texts")[0].as_py())
             found = {tuple(sorted((classes[x], classes[y]))) for x, y in zip(*np.nonzero(np.triu(near, 1))) if classes[x] != classes[y]}
             yield _links([(*a, *b) for a, b in sorted(found)])
 
@@ -532,11 +574,11 @@ def _classed(docs: DataFrame, doc_id: str, text: str, p: NearDup) -> tuple[DataF
     cells = F.greatest(F.ceil(F.col("n") / max(1, p.block // 4)), F.ceil(F.col("sizes") / p.unit)).cast("int")
     share = F.pmod(F.xxhash64("k2", "k1"), F.lit(p.pivots))
     least_of = F.array(*[F.min(F.when(share == j, F.struct("k1", "k2"))) for j in range(p.pivots)])
-    pivots = members.groupBy("bucket").agg(F.filter(least_of, lambda k: k.isNotNull()).alias("pivots"), F.max(cells).alias("cells"))
-    every = members.select("bucket", F.lit(False).alias("pivot"), F.pmod(F.xxhash64("k2", "k1"), cells).cast("int").alias("cell"), "k1", "k2")
-    first = pivots.select("bucket", F.explode("pivots").alias("k"), "cells").select("bucket", F.lit(True).alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "k.k1", "k.k2")
+    pivots = members.groupBy("bucket").agg(F.filter(least_of, lambda k: k.isNotNull()).alias("pivots"), F.max(cells).alias("cells"), F.max("n").alias("texts"))
+    every = members.select("bucket", F.col("n").alias("texts"), F.lit(False).alias("pivot"), F.pmod(F.xxhash64("k2", "k1"), cells).cast("int").alias("cell"), "k1", "k2")
+    first = pivots.select("bucket", "texts", F.explode("pivots").alias("k"), "cells").select("bucket", "texts", F.lit(True).alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "k.k1", "k.k2")
     grouped = every.unionByName(first).join(sets, ["k1", "k2"]).withColumn("g", F.xxhash64("bucket", "cell"))
-    grouped = grouped.select("g", "pivot", "k1", "k2", "total", "shingles", "counts", "df").repartition(ways, "g").sortWithinPartitions("g", F.desc("pivot"), "k1", "k2")
+    grouped = grouped.select("g", "pivot", "texts", "k1", "k2", "total", "flat", "shingles", "counts", "df").repartition(ways, "g").sortWithinPartitions("g", F.desc("pivot"), "k1", "k2")
     links = grouped.mapInArrow(_star(n, p), "a1 long, a2 long, b1 long, b2 long")
     within = written(_components(links), "roots")
 
@@ -548,11 +590,11 @@ def _classed(docs: DataFrame, doc_id: str, text: str, p: NearDup) -> tuple[DataF
     split = split.select("bucket", F.col("top.class").alias("largest"), "all", F.ceil(F.col("all") / half).cast("int").alias("columns"), F.ceil((F.col("all") - F.col("top.n")) / half).cast("int").alias("lines"))
     split = dealt_join(classed, split, ["bucket"], "all", ["k1", "k2"], total)
     place = F.xxhash64("k2", "k1")
-    column = split.select("bucket", "k1", "k2", "class", F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("line"), F.pmod(place, "columns").cast("int").alias("column"))
-    line = split.where(F.col("class") != F.col("largest")).select("bucket", "k1", "k2", "class", F.pmod(place, "lines").cast("int").alias("line"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"))
+    column = split.select("bucket", F.col("all").alias("texts"), "k1", "k2", "class", F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("line"), F.pmod(place, "columns").cast("int").alias("column"))
+    line = split.where(F.col("class") != F.col("largest")).select("bucket", F.col("all").alias("texts"), "k1", "k2", "class", F.pmod(place, "lines").cast("int").alias("line"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"))
     # a member that stands in the line and in the column of a group is there once
-    both = column.unionByName(line).select(F.xxhash64("bucket", "line", "column").alias("g"), "k1", "k2", "class").distinct()
-    grouped = both.join(sets, ["k1", "k2"]).select("g", F.col("class.k1").alias("c1"), F.col("class.k2").alias("c2"), "total", "shingles", "counts", "df")
+    both = column.unionByName(line).select(F.xxhash64("bucket", "line", "column").alias("g"), "texts", "k1", "k2", "class").distinct()
+    grouped = both.join(sets, ["k1", "k2"]).select("g", "texts", F.col("class.k1").alias("c1"), F.col("class.k2").alias("c2"), "total", "flat", "shingles", "counts", "df")
     grouped = grouped.repartition(ways, "g").sortWithinPartitions("g")
     more = grouped.mapInArrow(_across(n, p), "a1 long, a2 long, b1 long, b2 long")
     merged = _components(more)

@@ -215,3 +215,28 @@ def test_components(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {i: i // 20 * 20 for i in range(60)} | {100: 90, 90: 90}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_crowds(spark):
+    """In a large group df is the group's own size; edits must not part its members, and what is mostly held elsewhere must not join them."""
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(120)]
+    rows = [" ".join(base)]
+    for i in range(300):  # two words of each copy changed
+        words = base[:]
+        for j in rng.sample(range(5, 115), 2):
+            words[j] = f"e{i}x{j}"
+        rows.append(" ".join(words))
+    notice = [f"n{i}" for i in range(60)]
+    rows += [" ".join([*notice, *(f"o{i}y{k}" for k in range(400))]) for i in range(3000)]  # a notice in long texts
+    rows += [" ".join([*notice, *(f"s{i}z{k}" for k in range(4))]) for i in range(12)]  # and in short ones
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    group = [i for i, t in rows if t.startswith("b0")]
+    bags = {i: set(bag(t)) for i, t in rows if i in set(group)}
+    near = [ij for x, j in enumerate(group) for i in group[:x] for ij in [(i, j)] if len(bags[i] & bags[j]) >= 0.8 * len(bags[i] | bags[j])]
+    want = closure(len(rows), near)
+    assert len({want[i] for i in group}) == 1
+    assert sum(got[i] == want[i] for i in group) >= 0.99 * len(group)
+    assert all(got[i] == i for i, t in rows if t.startswith("n0"))
