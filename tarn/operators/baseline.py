@@ -8,22 +8,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.spec import CQ
-from .relations import c, instances, lex_columns, prefix_sums, sum_scale, weighted_sum
+from .relations import c, instances, lex_columns, prefix_sums, spread_for, sum_scale, weighted_sum
 
 
 def answers(cq: CQ, tables: Mapping[str, DataFrame], semantics: str = "set") -> DataFrame:
-    """All answers.  Atoms are joined in the given order, connected ones first; Catalyst picks the joins."""
-    rest = list(zip(cq.atoms, instances(cq, tables)))
+    """All answers.  Atoms are joined in the given order, connected ones first.
+
+    Answers over all variables differ as soon as each relation's rows do, so then
+    the relations are made distinct and not the join.
+    """
+    parts = instances(cq, tables)
+    if semantics == "set" and cq.full:
+        parts = [df.distinct() for df in parts]
+    rest = list(zip(cq.atoms, parts))
     first, out = rest.pop(0)
     have = set(first.variables)
     while rest:
         at = next((i for i, (a, _) in enumerate(rest) if have & set(a.variables)), 0)
         a, df = rest.pop(at)
         on = [v for v in dict.fromkeys(a.variables) if v in have]
+        out, df = spread_for(out, df)
         out = out.join(df, on) if on else out.crossJoin(df)
         have |= set(a.variables)
     out = out.select(*map(c, cq.free))
-    return out.distinct() if semantics == "set" else out
+    return out.distinct() if semantics == "set" and not cq.full else out
 
 
 def full_order(cq: CQ, order: Sequence[tuple[str, int]] | None = None) -> list[tuple[str, int]]:

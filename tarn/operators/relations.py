@@ -18,6 +18,9 @@ W = "__w"  # answers below a tuple
 #: Beyond this many answers arithmetic moves from bigint to decimal(38,0).
 BIG = "decimal(38,0)"
 
+#: A side of a join with at most so many rows is sent to all tasks.
+SMALL_ROWS = 1 << 18
+
 #: A bucket of more rows is dealt to several tasks.
 HOT_ROWS = 1 << 20
 
@@ -73,6 +76,18 @@ def same_join(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.join(other, condition).drop(*[f"__r{i}" for i in range(len(on))])
 
 
+def spread_for(df: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join that may make many more rows than it gets.
+
+    If ``other`` is small it is sent to all tasks and ``df`` is dealt evenly, so
+    that few keys don't end in few tasks and nothing that is joined is shuffled.
+    """
+    if other.limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
+        return df, other
+    ways = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(ways, *map(c, df.columns)), F.broadcast(other)
+
+
 def times(df: DataFrame, child: DataFrame, on: Sequence[str], weight: str, by: str, big: bool = False) -> DataFrame:
     """``df`` with ``weight`` multiplied by the sum of the child's ``by`` over the rows that match; rows without any go.
 

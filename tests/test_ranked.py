@@ -274,6 +274,14 @@ def test_rank_lists():
     assert ranks.decade_ranks(1) == [0] and ranks.median_rank(10) == [4]
 
 
+def test_distinct_answers_without_distinct_on_the_join(spark):
+    data = {"R": [(1, 1), (1, 2), (2, 1), (1, 1), (None, 5), (3, None)], "S": [(1, 7), (1, 8), (2, 7), (1, 7), (None, 7)]}
+    cq = CQ.of([("R", ("a", "b")), ("S", ("a", "c"))])
+    got = baseline.answers(cq, make(spark, cq, data))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(brute(cq, data, "set", []))
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[0]
+
+
 def test_decades_of_the_query_are_those_of_its_sql(spark, tmp_path):
     """More than 10**7 answers: the SQL names ranks up to 10**6 and the last."""
     for table, key in (("customer", "c"), ("supplier", "s")):
