@@ -14,7 +14,7 @@ from ..plans.jointree import layers
 from ..plans.spec import CQ, NotTractable
 from .reduction import reduce_query, reduced_edges
 from ..sources.scratch import written
-from .relations import BIG, HOT_ROWS, M, W, c, hot_buckets, prefix_sums, same_join, times
+from .relations import BIG, HOT_ROWS, M, W, c, hot_buckets, prefix_sums, same_join, spread_for, times
 
 #: The ranks of a layer without a prefix, and of a hot bucket, are dealt into cells, so that ranks meet few rows in an
 #: equi-join: so many cells at least, and one for so many rows.
@@ -128,6 +128,33 @@ class LayeredIndex:
             state = state.drop("__start", "__end", "__bucket", "__rw", "__i")
         return state.select("k", *map(c, self.cq.free))
 
+    def answers(self) -> DataFrame:
+        """k and the free variables of every answer: what ``access_many`` gives for all ranks.
+
+        From layer to layer each open bucket's rows are joined and their prefix
+        sums added up, so no rank is looked up and the answers are not sorted.
+        """
+        kind = self.kind
+        div = (lambda x, y: f"cast(({x} - {x} % {y}) / {y} as {BIG})") if kind == BIG else (lambda x, y: f"({x} div {y})")
+        state = self.totals().select(F.lit(0).cast(kind).alias("k"), F.col("n").alias("__f")).where("n > 0")
+        for layer, table in zip(self.layers, self.tables):
+            row = [F.col(x).cast(kind).alias(x) for x in ("__start", "__bucket")]
+            table = table.select(*map(c, (*layer.prefix, layer.variable)), c(W).cast(kind).alias("__rw"), *row)
+            if layer.prefix:
+                state = same_join(*spread_for(state, table), layer.prefix)
+            elif layer is self.layers[0]:  # the state is one row
+                state = table.crossJoin(F.broadcast(state))
+            else:
+                left, right = spread_for(state, table)
+                state = left.crossJoin(right)
+            state = state.withColumn("__f", F.expr(div("__f", "__bucket")))
+            state = state.withColumn("k", F.expr(f"cast(k + __start * __f as {kind})")).withColumn("__f", F.expr(f"cast(__f * __rw as {kind})"))
+            state = state.drop("__start", "__bucket", "__rw")
+        if self.semantics == "bag":  # what is left is how often the answer occurs
+            again = F.explode(F.expr("sequence(0L, cast(__f as bigint) - 1)"))
+            state = state.withColumn("__i", again).withColumn("k", F.expr(f"cast(k + __i as {kind})"))
+        return state.select("k", *map(c, self.cq.free))
+
     def access(self, k: int) -> dict[str, object]:
         """The answer of rank k; IndexError if there is none."""
         got = self.access_many([k]).first()

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.hypergraph import classify
 from ..plans.spec import CQ
+from .access import LayeredIndex
 from .relations import c, instances, lex_columns, prefix_sums, spread_for, sum_scale, weighted_sum
 
 
@@ -51,7 +54,15 @@ def _ordered(cq: CQ, tables: Mapping[str, DataFrame], semantics: str, order: Seq
 
 
 def ranked(cq: CQ, tables: Mapping[str, DataFrame], semantics: str = "set", order: Sequence[tuple[str, int]] | None = None) -> DataFrame:
-    """All answers with their rank ``k``.  They are dealt by ranges of the order, so no task sees all of them."""
+    """All answers with their rank ``k``.
+
+    Where the order can be indexed, ranks are added up from the layers' prefix
+    sums and nothing is sorted after the join.  Otherwise answers are dealt by
+    ranges of the order, so no task sees all of them.
+    """
+    whole = replace(cq, lex=tuple(full_order(cq, order)))
+    if not cq.sums and "k" not in cq.free and classify(whole).direct_access:
+        return LayeredIndex(whole, tables, semantics).answers().select(*map(c, cq.free), F.col("k").cast("long").alias("k"))
     rows, order = _ordered(cq, tables, semantics, order)
     placed = prefix_sums(rows.withColumn("__one", F.lit(1).cast("long")), [], order, "__one")
     return placed.select(*map(c, cq.free), F.col("__start").cast("long").alias("k"))

@@ -274,6 +274,21 @@ def test_rank_lists():
     assert ranks.decade_ranks(1) == [0] and ranks.median_rank(10) == [4]
 
 
+@pytest.mark.parametrize("semantics", ["set", "bag"])
+def test_all_answers_with_ranks(spark, semantics):
+    """From an index and by the plain way; neither sorts or removes repeated rows after the join."""
+    data = {"R": [(1, 1), (1, 2), (2, 1), (1, 1), (None, 5), (3, None)], "S": [(1, 7), (1, 8), (2, 7), (1, 7), (None, 7)], "T": [(4,), (5,), (4,)]}
+    cq = CQ.of([("R", ("a", "b")), ("S", ("a", "c")), ("T", ("d",))], None, {"a": -1, "c": 1, "b": 1, "d": -1})
+    want = brute(cq, data, semantics, list(cq.lex))
+    t = make(spark, cq, data)
+    got = sorted(tuple(r) for r in LayeredIndex(cq, t, semantics).answers().select("k", *cq.free).collect())
+    assert got == [(k, *w) for k, w in enumerate(want)]
+    ranked = baseline.ranked(cq, t, semantics)
+    assert sorted((r.k, *(r[v] for v in cq.free)) for r in ranked.collect()) == got
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [" not in plan.split("Join", 1)[0] and "rangepartitioning" not in plan
+
+
 def test_distinct_answers_without_distinct_on_the_join(spark):
     data = {"R": [(1, 1), (1, 2), (2, 1), (1, 1), (None, 5), (3, None)], "S": [(1, 7), (1, 8), (2, 7), (1, 7), (None, 7)]}
     cq = CQ.of([("R", ("a", "b")), ("S", ("a", "c"))])
