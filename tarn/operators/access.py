@@ -51,6 +51,7 @@ class LayeredIndex:
         parts = reduce_query(cq, tables, semantics, big)
         self.layers = layers([frozenset(p.variables) for p in parts], self.order)
         self.tables: list[DataFrame] = [None] * len(self.layers)
+        self.plain: list[DataFrame] = [None] * len(self.layers)  # the layers without prefix sums
         self.hot: list[DataFrame | None] = [None] * len(self.layers)
         for i in reversed(range(len(self.layers))):
             layer = self.layers[i]
@@ -71,6 +72,7 @@ class LayeredIndex:
             if layer.prefix:
                 rows = written(rows, "layer")
                 self.hot[i] = hot_buckets(rows, layer.prefix, hot_rows)
+            self.plain[i] = rows
             rows = prefix_sums(rows, layer.prefix, [(layer.variable, layer.direction)], hot=self.hot[i])
             self.tables[i] = rows.persist(StorageLevel.MEMORY_AND_DISK) if persist else rows
 
@@ -137,15 +139,15 @@ class LayeredIndex:
         kind = self.kind
         div = (lambda x, y: f"cast(({x} - {x} % {y}) / {y} as {BIG})") if kind == BIG else (lambda x, y: f"({x} div {y})")
         state = self.totals().select(F.lit(0).cast(kind).alias("k"), F.col("n").alias("__f")).where("n > 0")
-        for layer, table in zip(self.layers, self.tables):
+        for layer, table, plain in zip(self.layers, self.tables, self.plain):
             row = [F.col(x).cast(kind).alias(x) for x in ("__start", "__bucket")]
             table = table.select(*map(c, (*layer.prefix, layer.variable)), c(W).cast(kind).alias("__rw"), *row)
             if layer.prefix:
-                state = same_join(*spread_for(state, table), layer.prefix)
+                state = same_join(*spread_for(state, table, plain), layer.prefix)
             elif layer is self.layers[0]:  # the state is one row
                 state = table.crossJoin(F.broadcast(state))
             else:
-                left, right = spread_for(state, table)
+                left, right = spread_for(state, table, plain)
                 state = left.crossJoin(right)
             state = state.withColumn("__f", F.expr(div("__f", "__bucket")))
             state = state.withColumn("k", F.expr(f"cast(k + __start * __f as {kind})")).withColumn("__f", F.expr(f"cast(__f * __rw as {kind})"))

@@ -76,13 +76,14 @@ def same_join(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.join(other, condition).drop(*[f"__r{i}" for i in range(len(on))])
 
 
-def spread_for(df: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame]:
+def spread_for(df: DataFrame, other: DataFrame, counted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Both sides of a join that may make many more rows than it gets.
 
     If ``other`` is small it is sent to all tasks and ``df`` is dealt evenly, so
     that few keys don't end in few tasks and nothing that is joined is shuffled.
+    ``counted`` has as many rows as ``other`` and is cheaper to count.
     """
-    if other.limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
+    if (other if counted is None else counted).limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
         return df, other
     ways = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(ways, *map(c, df.columns)), F.broadcast(other)
