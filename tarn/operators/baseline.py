@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from ..plans.hypergraph import classify
 from ..plans.spec import CQ
 from .access import LayeredIndex
-from .relations import c, instances, lex_columns, prefix_sums, spread_for, sum_scale, weighted_sum
+from .relations import block_join, c, instances, lex_columns, prefix_sums, spread_for, sum_scale, weighted_sum
 
 
-def answers(cq: CQ, tables: Mapping[str, DataFrame], semantics: str = "set") -> DataFrame:
+def answers(cq: CQ, tables: Mapping[str, DataFrame], semantics: str = "set", blocks: bool = False) -> DataFrame:
     """All answers.  Atoms are joined in the given order, connected ones first.
 
     Answers over all variables differ as soon as each relation's rows do, so then
-    the relations are made distinct and not the join.
+    the relations are made distinct and not the join.  With ``blocks``, for answers
+    that are to be stored, the last join is made in blocks (:func:`block_join`).
     """
     parts = instances(cq, tables)
     if semantics == "set" and cq.full:
@@ -30,6 +31,9 @@ def answers(cq: CQ, tables: Mapping[str, DataFrame], semantics: str = "set") ->
         at = next((i for i, (a, _) in enumerate(rest) if have & set(a.variables)), 0)
         a, df = rest.pop(at)
         on = [v for v in dict.fromkeys(a.variables) if v in have]
+        if blocks and on and not rest:
+            out = block_join(out, df, on)
+            break
         out, df = spread_for(out, df)
         out = out.join(df, on) if on else out.crossJoin(df)
         have |= set(a.variables)

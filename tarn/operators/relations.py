@@ -24,6 +24,10 @@ SMALL_ROWS = 1 << 18
 #: A bucket of more rows is dealt to several tasks.
 HOT_ROWS = 1 << 20
 
+#: Of a join in blocks: about how many rows of the large side, and at most how many of the small one, make a block; rows of
+#: the large side in a partition (column files keep the dictionary of a column with so few values).
+LEFT_ROWS, RIGHT_ROWS, PART_ROWS = 1 << 7, 1 << 8, 1 << 16
+
 
 def c(name: str) -> Column:
     """A column of just this name, dots included."""
@@ -89,6 +93,40 @@ def spread_for(df: DataFrame, other: DataFrame, counted: DataFrame | None = None
     return df.repartition(ways, *map(c, df.columns)), F.broadcast(other)
 
 
+def block_join(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join on ``on`` with every pair of rows that match, for results many times as large as the inputs.
+
+    Where ``other`` is small, both sides are cut into blocks under each key, and
+    blocks are joined with blocks.  Neighbouring rows then repeat the values of a
+    block in the same order, which column files store in a fraction of the space;
+    only ``df`` is shuffled, never joined rows.  Otherwise this is a plain join.
+    """
+    left, right = [v for v in df.columns if v not in on], [v for v in other.columns if v not in on]
+    if not (on and left and right) or other.limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
+        df, other = spread_for(df, other)
+        return df.join(other, list(on)) if on else df.crossJoin(other)
+    keys, lefts, rights = [c(v) for v in on], [f"__l{i}" for i in range(len(left))], [f"__r{i}" for i in range(len(right))]
+    df, other = df.select(*keys, *map(c, left)).toDF(*on, *lefts), other.select(*keys, *map(c, right)).toDF(*on, *rights)
+
+    sizes = semi_join(df.groupBy(*keys).agg(F.count("*").alias("__rows")), F.broadcast(other), on)
+    sizes = written(sizes, "sizes")  # no more rows than other
+    rows = sizes.agg(F.sum("__rows")).first()[0] or 0
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS))
+
+    def cut(side: DataFrame, by: Sequence[str], order: Sequence[str], most: int) -> DataFrame:
+        place = Window.partitionBy(*map(c, by)).orderBy(*order)
+        return side.withColumn("__cut", F.floor((F.row_number().over(place) - 1) / most))
+
+    # rows that agree on the first column stay together, at most a block of them
+    df = cut(df, [*on, lefts[0]], lefts, LEFT_ROWS).join(F.broadcast(sizes), list(on))
+    df = df.withColumn("__block", F.pmod(F.xxhash64(lefts[0], "__cut"), F.ceil(F.col("__rows") / LEFT_ROWS)))
+    df = df.repartitionByRange(parts, *keys, "__block")  # few keys, so few values of a column, in a partition
+    df = df.groupBy(*keys, "__block").agg(F.sort_array(F.collect_list(F.struct(*lefts))).alias("__left"))
+    other = cut(other, on, rights, RIGHT_ROWS).groupBy(*keys, "__cut").agg(F.sort_array(F.collect_list(F.struct(*rights))).alias("__right"))
+    pairs = df.join(F.broadcast(other), list(on)).select(*keys, F.inline("__left"), "__right")
+    return pairs.select(*keys, *lefts, F.inline("__right")).toDF(*on, *left, *right)
+
+
 def times(df: DataFrame, child: DataFrame, on: Sequence[str], weight: str, by: str, big: bool = False) -> DataFrame:
     """``df`` with ``weight`` multiplied by the sum of the child's ``by`` over the rows that match; rows without any go.
 
